@@ -44,12 +44,13 @@ def source_targets(sizes: DataFrame, share: float = 1.5, max_epochs: float = 2.0
         .withColumn("__cap", F.col("source_size") * max_epochs)
         .withColumn("__total", F.sum("source_size").over(every) * share)
     )
-    up = Window.orderBy(F.col("__cap") / F.col("__w"), "__n")
+    placed = placed.withColumn("__ratio", F.col("__cap") / F.col("__w"))
+    up = Window.orderBy("__ratio", "__n")
     before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
     # The level if exactly the sources before this one are full; it holds at the first source that it does not fill.
     levels = placed.withColumn("__level", (F.col("__total") - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / F.sum("__w").over(after))
-    level = F.min(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level"))).over(every)
-    return levels.withColumn("__at", level).select(_SRC, _NONE, "source_size", F.coalesce(F.least(F.col("__cap"), F.col("__at") * F.col("__w")), F.col("__cap")).alias("target"))
+    first = F.min(F.when(F.col("__level") <= F.col("__ratio"), F.struct("__ratio", "__n", "__level"))).over(every)
+    return levels.withColumn("__at", first["__level"]).select(_SRC, _NONE, "source_size", F.coalesce(F.least(F.col("__cap"), F.col("__at") * F.col("__w")), F.col("__cap")).alias("target"))
 
 
 def mix_sources(
