@@ -227,7 +227,3 @@ def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-
-def group_rows(group: Iterable[pa.RecordBatch] | pa.Table) -> pa.Table:
-    return group if isinstance(group, pa.Table) else pa.Table.from_batches(list(group))

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventflow.llm import line_dedup, mixing, quality, simhash, tokens
+from eventflow.llm import katz, line_dedup, mixing, phrases, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +27,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.repeated_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_features(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_mix_sources, op7_quality_rules, op8_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op2_katz_scores, op4_token_counts, op5_mix_sources, op6_repeated_phrases, op7_quality_rules, op8_line_dedup, op10_simhash)}
 
 
 ORACLES = {
