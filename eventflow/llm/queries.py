@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventflow.llm import katz, line_dedup, mixing, phrases, quality, simhash, tokens
+from eventflow.llm import decontaminate, html, katz, line_dedup, mixing, phrases, pii, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,12 +47,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_katz_scores, op4_token_counts, op5_mix_sources, op6_repeated_phrases, op7_quality_rules, op8_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_main_text, op2_katz_scores, op3_benchmark_leaks, op4_token_counts, op5_mix_sources, op6_repeated_phrases, op7_quality_rules, op8_line_dedup, op9_personal_data, op10_simhash)}
 
 
 ORACLES = {
