@@ -1,0 +1,7 @@
+"""eventflow: event-stream analytics on Spark DataFrames and Structured Streaming."""
+
+from eventflow.environment import Environment, Options
+from eventflow.session import session
+from eventflow.stream import Stream
+
+__all__ = ["Environment", "Options", "Stream", "session"]

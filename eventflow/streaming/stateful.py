@@ -1,0 +1,217 @@
+"""Windows with allowed lateness and custom triggers, as a stateful processor.
+
+Built-in window aggregates drop late rows by the watermark of the batch before and give one result;
+this processor applies the exact rule instead: one result when the watermark passes a window's
+end, one more for every late row within the lateness, and none after.  State is one
+accumulator per key and window in the state store; timers fire and clean up.
+"""
+
+from __future__ import annotations
+
+import enum
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
+
+from eventflow.functions.aggregators import Aggregator
+from eventflow.functions.windows import Tumbling
+
+
+class TriggerResult(enum.IntFlag):
+    CONTINUE = 0
+    FIRE = 1
+    PURGE = 2
+    FIRE_AND_PURGE = 3
+
+
+class Trigger:
+    """When a window gives results; the default does so once its time has come, and for each late row after that."""
+
+    def on_element(self, row: dict, count: int, start: int, end: int, watermark: int) -> TriggerResult:
+        return TriggerResult.FIRE if end <= watermark else TriggerResult.CONTINUE
+
+    def on_timer(self, start: int, end: int) -> TriggerResult:
+        return TriggerResult.FIRE
+
+    def clear(self, start: int, end: int) -> None:
+        pass
+
+
+class EventTimeTrigger(Trigger):
+    pass
+
+
+class CountTrigger(Trigger):
+    """A result after every ``n`` rows, which then start anew if ``purge``."""
+
+    def __init__(self, n: int, purge: bool = False):
+        if n < 1:
+            raise ValueError("a count is 1 or more")
+        self.n, self.purge = n, purge
+
+    def on_element(self, row: dict, count: int, start: int, end: int, watermark: int) -> TriggerResult:
+        if count % self.n:
+            return TriggerResult.CONTINUE
+        return TriggerResult.FIRE_AND_PURGE if self.purge else TriggerResult.FIRE
+
+
+class ProcessingTimeTrigger(Trigger):
+    """Windows of a clock: results by timer only."""
+
+    def on_element(self, row: dict, count: int, start: int, end: int, watermark: int) -> TriggerResult:
+        return TriggerResult.CONTINUE
+
+
+_STATE = StructType([StructField("acc", BinaryType()), StructField("count", LongType()), StructField("fired", BooleanType())])
+
+
+class WindowProcessor(StatefulProcessor):
+    """Grouped by (keys..., start, end) in epoch milliseconds."""
+
+    def __init__(self, keys: Sequence[str], aggregator: Aggregator, trigger: Trigger, lateness_ms: int, processing: bool, process: Callable[[tuple, int, int, Any], list[dict]], columns: Sequence[str]):
+        self.keys, self.aggregator, self.trigger, self.lateness = list(keys), aggregator, trigger, lateness_ms
+        self.processing, self.process, self.columns = processing, process, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("window", _STATE)
+
+    def close(self) -> None:
+        pass
+
+    def _get(self) -> tuple[Any, int, bool]:
+        if not self.state.exists():
+            return self.aggregator.create(), 0, False
+        acc, count, fired = self.state.get()
+        return pickle.loads(bytes(acc)), count, fired  # our own state only
+
+    def _put(self, acc: Any, count: int, fired: bool) -> None:
+        self.state.update((pickle.dumps(acc), count, fired))
+
+    def _now(self, timer_values) -> int:
+        # Spark's watermark lags by the lateness so that state lives long enough; this is the on-time one.
+        if self.processing:
+            return timer_values.getCurrentProcessingTimeInMs()
+        return timer_values.getCurrentWatermarkInMs() + self.lateness
+
+    def _results(self, key: tuple, acc: Any) -> list[dict]:
+        *own, start, end = key
+        return [{**dict(zip(self.keys, own, strict=True)), **row, "event_ms": end - 1} for row in self.process(tuple(own), start, end, self.aggregator.result(acc))]
+
+    def _frame(self, rows: list[dict]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=self.columns)
+
+    def _timers(self, end: int) -> tuple[int, int]:
+        """When to fire and when to clean up, by the clock that timers follow."""
+        return (end, end) if self.processing else (end - self.lateness, end)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        *_, start, end = key
+        now, out = self._now(timerValues), []
+        fire_at, clean_at = self._timers(end)
+        if not self.processing and end + self.lateness <= now:
+            for _ in rows:
+                pass
+            return iter(())  # too late: dropped
+        acc, count, fired = self._get()
+        fresh = count == 0
+        if not fresh and not fired and not self.processing and end <= now:
+            out += self._results(key, acc)  # its timer is due in this very batch: the on-time result comes first
+            fired = True
+        for pdf in rows:
+            for row in pdf.to_dict("records"):
+                acc, count = self.aggregator.add(acc, row), count + 1
+                said = self.trigger.on_element(row, count, start, end, now)
+                if said & TriggerResult.FIRE:
+                    out += self._results(key, acc)
+                    fired = fired or end <= now
+                if said & TriggerResult.PURGE:
+                    acc = self.aggregator.create()
+        self._put(acc, count, fired)
+        if fresh:
+            for at in {fire_at, clean_at}:
+                self.handle.registerTimer(at)
+        return self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *_, start, end = key
+        fire_at, clean_at = self._timers(end)
+        due, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if not self.state.exists():
+            return iter(())
+        acc, count, fired = self._get()
+        if due >= fire_at and not fired:
+            said = self.trigger.on_timer(start, end)
+            if said & TriggerResult.FIRE:
+                out += self._results(key, acc)
+            fired = True
+            if said & TriggerResult.PURGE:
+                acc = self.aggregator.create()
+            self._put(acc, count, fired)
+        if due >= clean_at:
+            self.trigger.clear(start, end)
+            self.state.clear()
+        return self._frame(out)
+
+
+def stateful_window(
+    df: DataFrame, spec: Tumbling, event_time: str | None, keys: Sequence[str], values: Sequence[str], aggregator: Aggregator, output: str,
+    lateness_ms: int = 0, trigger: Trigger | None = None, process: Callable[[tuple, int, int, Any], list[dict]] | None = None,
+) -> DataFrame:
+    """Windows over an unbounded stream whose watermark was assigned with the same lateness.
+
+    ``output``: the schema of the columns that ``process`` (default: ``result`` alone) gives; keys come before, ``event_ms`` (end - 1) after.
+    """
+    if lateness_ms < 0:
+        raise ValueError("lateness can't be negative")
+    if aggregator is None:
+        raise ValueError("an aggregator is needed")
+    process = process or (lambda key, start, end, result: [{"result": result}])
+    trigger = trigger or (ProcessingTimeTrigger() if spec.processing else EventTimeTrigger())
+    window = spec.column(event_time)
+    # Only the bounds go on, not the event time: rows are judged by their window, not one by one.
+    flat = df.select(*keys, F.unix_millis(window["start"]).alias("_start"), F.unix_millis(window["end"]).alias("_end"), *[c for c in values if c not in keys])
+    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = ", ".join(x for x in (own, output, "event_ms long") if x)
+    columns = [f.name for f in StructType.fromDDL(schema).fields]
+    processor = WindowProcessor(keys, aggregator, trigger, lateness_ms, spec.processing, process, columns)
+    return flat.groupBy(*keys, "_start", "_end").transformWithStateInPandas(processor, schema, "Update", "ProcessingTime" if spec.processing else "EventTime")
+
+
+class TwoInputProcessor(StatefulProcessor):
+    """Per key, ``left`` and ``right`` handle rows of either input with the key's own state (any value); each gives (state, rows)."""
+
+    def __init__(self, left: Callable, right: Callable, create: Callable[[], Any], columns: Sequence[str]):
+        self.by_side, self.create, self.columns = {1: left, 2: right}, create, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("both", StructType([StructField("value", BinaryType())]))
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        from eventflow.operators.multi import sides
+
+        value = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.create()
+        out: list[dict] = []
+        for side, part in sides(rows):
+            for row in part.to_dict("records"):
+                value, made = self.by_side[side](key, value, row)
+                out += made
+        self.state.update((pickle.dumps(value),))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+
+def co_process_stream(tagged: DataFrame, keys: Sequence[str], left: Callable, right: Callable, create: Callable[[], Any], schema: str) -> DataFrame:
+    """Two unbounded inputs (see ``multi.tagged``) with state per key."""
+    columns = [f.name for f in StructType.fromDDL(schema).fields]
+    return tagged.groupBy(*keys).transformWithStateInPandas(TwoInputProcessor(left, right, create, columns), schema, "Append", "None")
