@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from eventflow.stream import DifferentEnvironments, Stream
 
 #: 1 or 2: the input that a connected row came from.
-SIDE = "_side"
+SIDE = "input_side"
 
 
 def _together(streams: list[Stream], name: str) -> None:

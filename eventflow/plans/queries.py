@@ -374,6 +374,7 @@ ORACLES = {
     "stream_filter_map": f"SELECT event_id, {_CENTS} AS cents FROM events WHERE NOT coalesce(event_type = 'error', FALSE)",
     "stream_union_watermark": f"SELECT * FROM ({_tumble('2 * count(*) AS n', HOUR)}) WHERE window_end <= (SELECT epoch_ms(max(ts)) FROM events) - {20 * MINUTE}",
     "stream_lateness": f"SELECT event_type, window_start, n, sum_cents, event_ts AS event_ms FROM ({_tumble(f'{_N}, CAST(sum({_CENTS}) AS BIGINT) AS sum_cents', HOUR)}) WHERE window_end <= (SELECT epoch_ms(max(ts)) FROM events) - {10 * MINUTE}",
+    "stream_count_trigger": f"SELECT event_type, event_ms, CAST(CASE WHEN closed THEN c ELSE c // 5 * 5 END AS BIGINT) AS n, CAST(least(c, 5) AS BIGINT) AS most FROM (SELECT event_type, {_window('epoch_ms(ts)', 24 * HOUR)} + {24 * HOUR - 1} AS event_ms, count(*) AS c, event_ms < (SELECT epoch_ms(max(ts)) FROM events) - {10 * MINUTE} AS closed FROM events GROUP BY 1, 2) WHERE closed OR c >= 5",
     "processing_time_windows": _tumble(_N, 5 * MINUTE, ts="make_timestamp(event_id * 1000000)"),
     "mock_source": "SELECT 'mock' AS value, CAST(3000 AS BIGINT) AS n",
 }

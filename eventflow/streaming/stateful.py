@@ -21,6 +21,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 
 from eventflow.functions.aggregators import Aggregator
 from eventflow.functions.windows import Tumbling
+from eventflow.stream import Stream
 
 
 class TriggerResult(enum.IntFlag):
@@ -215,3 +216,10 @@ def co_process_stream(tagged: DataFrame, keys: Sequence[str], left: Callable, ri
     """Two unbounded inputs (see ``multi.tagged``) with state per key."""
     columns = [f.name for f in StructType.fromDDL(schema).fields]
     return tagged.groupBy(*keys).transformWithStateInPandas(TwoInputProcessor(left, right, create, columns), schema, "Append", "None")
+
+
+def connect_stream(left_stream: Stream, right_stream: Stream, name: str, keys: Sequence[str], left: Callable, right: Callable, create: Callable[[], Any], schema: str) -> Stream:
+    """The same as an operator of two streams."""
+    from eventflow.operators import multi
+
+    return multi.connect(left_stream, right_stream, name, lambda df: co_process_stream(df, keys, left, right, create, schema))
