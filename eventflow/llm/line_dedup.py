@@ -164,12 +164,13 @@ def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """All rows and columns; the text without the lines that go (a null text stays null)."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             at = rb.schema.get_field_index(text_col)
             texts = [t if m is None else "\n".join(kept_lines(t, m)[0]) for t, m in zip(rb.column(at).to_pylist(), rb.column(rb.num_columns - 1).to_pylist(), strict=True)]
             cols = [pa.array(texts, rb.schema.field(at).type) if i == at else rb.column(i) for i in range(rb.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _with_bitmaps(docs, docs.columns, id_col, text_col, **options).mapInArrow(run, docs.schema)
+    return _with_bitmaps(docs, names, id_col, text_col, **options).mapInArrow(run, docs.schema)
