@@ -32,7 +32,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates (0.8 or more of their five-word shingles in common) stays."""
     return drop_near_duplicates(docs)
 
 

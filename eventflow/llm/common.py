@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,16 +102,18 @@ class Words:
     def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
+        if texts.offset:  # string kernels of some Arrow versions misread arrays that begin inside their buffers
+            texts = texts.take(pa.array(np.arange(len(texts))))
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if lower:
             texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(texts)
-        words, owner = lists.flatten(), pc.list_parent_indices(lists)
+        words, owner = lists.flatten(), np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
         full = pc.not_equal(words, "")
         words = words.filter(full)
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
-        owner = np.asarray(owner.filter(full)).astype(np.int64)
+        owner = owner[np.asarray(full)]
         coded = words.dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
@@ -224,6 +226,17 @@ def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def text_slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, pa.Array]]:
+    """``texts`` in runs of about ``max_bytes`` (a longer text alone), each with the place where it begins: bounds a task's memory whatever the batch size."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) + 64)
+    at = 0
+    while at < len(texts):
+        before = int(size[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + max_bytes, side="right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
 def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)

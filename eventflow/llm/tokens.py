@@ -101,7 +101,7 @@ class TokenCounter:
         if not len(plain):
             return out
         lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        owner = np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
+        owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
         coded = lists.flatten().dictionary_encode()
         codes, pieces = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
         first = np.concatenate([[True], owner[1:] != owner[:-1]])  # has no space before it

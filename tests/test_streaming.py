@@ -134,25 +134,24 @@ def test_mock_source(spark, tmp_path):
     assert mock.mock_rows(spark, number=5, rounds=2).count() == 10
 
 
-class Numbers:
-    def open(self):
-        self.safe = 0
-
-    def rows(self, start):
-        end = min(start + 3, 7)
-        return self.replay(start, end), end
+def test_source_of_ones_own(spark, tmp_path):
+    class Numbers:
+        def open(self):
+            self.safe = 0
 
-    def replay(self, start, end):
-        return [(i,) for i in range(start, end)]
+        def rows(self, start):
+            end = min(start + 3, 7)
+            return self.replay(start, end), end
 
-    def committed(self, offset):
-        self.safe = offset
+        def replay(self, start, end):
+            return [(i,) for i in range(start, end)]
 
-    def close(self):
-        pass
+        def committed(self, offset):
+            self.safe = offset
 
+        def close(self):
+            pass
 
-def test_source_of_ones_own(spark, tmp_path):
     env = Environment(spark, Options(checkpoint_dir=str(tmp_path)))
     s = env.from_source("n", source_stream(spark, "numbers", Numbers, "n long"))
     got = []
