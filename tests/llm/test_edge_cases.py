@@ -143,7 +143,8 @@ def test_quality_against_brute_force(docs, rows):
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(inside))
         assert r.base_failed == (len(w) < 10 or 100 * len(inside) > 20 * len(w))
         assert not (r.base_failed and r.kept)
-    assert not got[20].kept and not got[21].kept and got[22].kept and got[25].kept
+    assert not got[20].kept and not got[21].kept and got[22].kept
+    assert got[25].base_failed  # 60,000 words, but all of them in windows that come again
 
 
 def test_cascade_order_does_not_change_verdicts(docs):
@@ -222,8 +223,8 @@ def test_near_duplicates_against_brute_force(docs, rows):
     label = {i: i for i in sets}
     for _ in sets:
         label = {i: min(label[j] for j in sets if alike(sets[i], sets[j])) for i in sets}
-    for rows_per_cell in (16_384, 2):
-        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, cell_rows=rows_per_cell).collect()) == sorted(set(label.values()))
+    for rows_per_part in (100_000, 40):
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, part_rows=rows_per_part).collect()) == sorted(set(label.values()))
 
 
 def test_near_copies_are_found(spark):
@@ -242,7 +243,7 @@ def test_near_copies_are_found(spark):
             texts.append((k, " ".join(w)))
     sets = [simhash.shingle_set(t, 5) for _, t in texts]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, cell_rows=100).collect()}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, part_rows=400).collect()}
     heads = {}
     for i, (k, _) in enumerate(texts):
         heads.setdefault(k, i)
