@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import written
+from eventflow.llm.common import U64, Words, gram_hashes, pair, shuffle_partitions, text_slices, written
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -178,7 +178,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         changed = not (after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty())
         edges = after
         if not changed:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
@@ -197,50 +197,46 @@ def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return near_duplicates(docs, id_col, text_col, radius).select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# Near duplicates by what the texts share: fingerprints find candidates, shingle sets decide
+# Near duplicates by what the texts share: bands form tiles, fingerprints find candidates in them, shingle sets decide
 
+_TOP = np.iinfo(np.uint64).max
+_SEED = 20_240_229
 
-def _cells(histogram: dict[int, int], cell_rows: int) -> list[tuple[int, int, int]]:
-    """(lowest, highest population count, pieces) of cells of about ``cell_rows`` fingerprints."""
-    out, low, rows = [], None, 0
-    for count in sorted(histogram):
-        if rows and rows + histogram[count] > cell_rows:
-            out.append((low, last, max(1, -(-rows // cell_rows))))
-            low, rows = None, 0
-        low = count if low is None else low
-        last, rows = count, rows + histogram[count]
-    return [*out, (low, last, max(1, -(-rows // cell_rows)))] if rows else out
 
+def band_keys(texts: pa.Array, shingle: int, rows: int, bands: int) -> np.ndarray:
+    """(text, band): a hash of ``rows`` min-hashes of the text's shingle set.
 
-def _deal_cells(cells: list[tuple[int, int, int]], radius: int):
-    """Every fingerprint to the pairs of cells that it could have a partner in; cells whose counts differ beyond the radius are never paired."""
-    first = np.concatenate([[0], np.cumsum([c[2] for c in cells])]).astype(np.int64)
-    flat = [(lo, hi) for lo, hi, pieces in cells for _ in range(pieces)]
-    partners = [[j for j, (lo, hi) in enumerate(flat) if lo - flat[i][1] <= radius and flat[i][0] - hi <= radius] for i in range(len(flat))]
-    of_count = np.full(65, 0, np.int64)
-    for k, (lo, hi, _) in enumerate(cells):
-        of_count[lo : hi + 1] = k
-    pieces = np.array([c[2] for c in cells], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            node, fp = rb.column(0).to_numpy(), rb.column(1).to_numpy()
-            cell = of_count[np.bitwise_count(fp.view(np.uint64))]
-            spread = ((node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-            cell = first[cell] + spread % pieces[cell]
-            for c in np.unique(cell).tolist():
-                at = cell == c
-                for other in partners[c]:
-                    n = int(at.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, min(c, other) * len(flat) + max(c, other))), pa.array(np.full(n, c > other)), pa.array(node[at]), pa.array(fp[at])], names=["pair", "second", "node", "fp"])
-
-    return run
+    Two texts of similarity s agree in some band with probability 1 - (1 - s**rows)**bands.  Texts without a word agree in all.
+    """
+    words = Words(texts, lower=True)
+    n = len(words.codes)
+    hashed = words.hashes()[words.codes] if n else np.empty(0, np.uint64)
+    grams = gram_hashes(hashed, shingle)
+    taken = words.starts[words.doc + 1] - np.arange(n) >= shingle
+    for i in np.flatnonzero((words.lengths > 0) & (words.lengths < shingle)).tolist():  # too short: the whole sequence
+        at = int(words.starts[i])
+        grams[at] = gram_hashes(hashed[at : at + int(words.lengths[i])], int(words.lengths[i]))[0]
+        taken[at] = True
+    grams, full = grams[taken], words.lengths > 0
+    counts = np.bincount(words.doc[taken], minlength=words.n_docs)[full]
+    heads = np.cumsum(counts) - counts
+    turn = np.random.default_rng(_SEED).integers(0, 1 << 63, (rows * bands, 2), dtype=np.uint64)
+    out = np.empty((words.n_docs, bands), np.uint64)
+    for band in range(bands):
+        key = np.full(words.n_docs, U64(band))
+        for k in range(band * rows, (band + 1) * rows):
+            low = np.full(words.n_docs, _TOP)
+            if len(heads):
+                low[full] = np.minimum.reduceat((grams ^ turn[k, 0]) * (turn[k, 1] | U64(1)), heads)
+            key = pair(key, low)
+        out[:, band] = key
+    return out
 
 
 def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Places of a spanning forest of least weight of the links (a[i], b[i]), by Boruvka's rounds."""
+    """Places of a spanning forest of least weight (ties: by nodes) of the links (a[i], b[i]), by Boruvka's rounds."""
     n_links = len(a)
-    order = np.argsort(weight, kind="stable")
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), weight))
     nodes, at = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
     label, live, keep = np.arange(len(nodes)), np.arange(n_links), []
     u, v = at[:n_links], at[n_links:]
@@ -268,44 +264,123 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return order[np.concatenate(keep)] if keep else np.empty(0, np.int64)
 
 
-def _compare_cells(radius: int, rows: int = 512, columns: int = 1024):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())])
+class Links:
+    """Links (a, b, bits) of a tile, thinned to two edge-disjoint spanning forests of the closest."""
 
-    def thin(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keep = spanning(a, b, w)
-        return a[keep], b[keep], w[keep]
+    def __init__(self, held: int = 1_000_000):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, self.held = 0, held
 
-    def run(group: pa.Table) -> pa.Table:
-        second, node, fp = (group.column(c).to_numpy() for c in ("second", "node", "fp"))
+    def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
+        if len(a):
+            self.parts.append((np.minimum(a, b), np.maximum(a, b), bits.astype(np.int32)))
+            self.n += len(a)
+            if self.n > self.held:
+                self.parts = [self.thin()]
+                self.n = len(self.parts[0][0])
+                self.held = max(self.held, 2 * self.n)
+
+    def thin(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        a, b, bits = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        first = spanning(a, b, bits)
+        rest = np.setdiff1d(np.arange(len(a)), first, assume_unique=True)
+        keep = np.concatenate([first, rest[spanning(a[rest], b[rest], bits[rest])]])
+        return a[keep], b[keep], bits[keep]
+
+
+def compare_tile(node: np.ndarray, fp: np.ndarray, radius: int, hubs: int = 3, rows: int = 512, columns: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b), and the places and scores of the most central members.
+
+    All pairs meet by XOR and bit counts, in pieces; pieces whose population counts differ beyond the radius are skipped.  What
+    is kept are two forests of the closest links (for chains of edits) and each member's links to the members that are closest to all others
+    (copies edited independently are alike to their common source and often not to each other).
+    """
+    count = np.bitwise_count(fp)
+    order = np.argsort(count, kind="stable")
+    sorted_fp, count = fp[order], count[order].astype(np.int64)
+    links, score = Links(), np.zeros(len(fp), np.int64)
+    for i in range(0, len(fp), rows):
+        highest = count[min(i + rows, len(fp)) - 1]
+        for j in range(i, len(fp), columns):
+            if count[j] - highest > radius:
+                break
+            bits = np.bitwise_count(sorted_fp[i : i + rows, None] ^ sorted_fp[None, j : j + columns])
+            r, c = np.nonzero(bits <= radius)
+            ok = j + c > i + r
+            r, c = r[ok], c[ok]
+            close = bits[r, c]
+            x, y = order[i + r], order[j + c]
+            links.add(node[x], node[y], close)
+            for side in (x, y):
+                score += np.bincount(side, weights=radius + 1 - close.astype(np.int64), minlength=len(fp)).astype(np.int64)
+    top = np.lexsort((node, -score))[:hubs]
+    a, b, _ = links.thin()
+    parts_a, parts_b = [a], [b]
+    for h in top.tolist():
+        at = np.flatnonzero((np.bitwise_count(fp ^ fp[h]) <= radius) & (node != node[h]))
+        parts_a.append(np.full(len(at), node[h]))
+        parts_b.append(node[at])
+    return np.concatenate(parts_a), np.concatenate(parts_b), top, score[top] / max(1, len(fp) - 1)
+
+
+#: link: nodes a and b; member and hub: node a and fingerprint b of a tile that a range border may cut
+_LINK, _MEMBER, _HUB = 0, 1, 2
+_FOUND = "kind byte, tile long, a long, b long, score double"
+_FOUND_PA = pa.schema([("kind", pa.int8()), ("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
+
+
+def _compare_tiles(radius: int, small: int = 8):
+    """Rows sorted by tile to links, and members and hubs of the first and the last tile."""
+
+    def rows(kind: int, tile: int, a: np.ndarray, b: np.ndarray, score: np.ndarray | None = None) -> pa.RecordBatch:
+        n = len(a)
+        score = np.zeros(n) if score is None else score
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, tile, np.int64)), pa.array(a), pa.array(b), pa.array(score)], schema=_FOUND_PA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("tile", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())]))
+        tile, node, fp = (table.column(i).to_numpy() for i in range(3))
+        if not len(tile):
+            return
         fp = fp.view(np.uint64)
-        same = not second.any()
-        x, y = (np.flatnonzero(~second), np.flatnonzero(~second if same else second))
-        parts, held = [], 0
-        for i in range(0, len(x), rows):
-            p = x[i : i + rows]
-            for j in range(i if same else 0, len(y), columns):
-                q = y[j : j + columns]
-                bits = np.bitwise_count(fp[p][:, None] ^ fp[q][None, :])
-                r, c = np.nonzero(bits <= radius)
-                if not len(r):
-                    continue
-                a, b, w = node[p[r]], node[q[c]], bits[r, c].astype(np.int32)
-                ok = a != b
-                if ok.any():
-                    parts.append((a[ok], b[ok], w[ok]))
-                    held += int(ok.sum())
-                    if held > 1_000_000:
-                        parts = [thin(parts)]
-                        held = len(parts[0][0])
-        if not parts:
-            return schema.empty_table()
-        a, b, w = thin(parts)
-        return pa.table([np.minimum(a, b), np.maximum(a, b), w], schema=schema)
+        heads = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        sizes = np.diff(np.concatenate([heads, [len(tile)]]))
+        out_a, out_b = [], []
+        end = np.repeat(np.where(sizes <= small, heads + sizes, 0), sizes)  # small tiles side by side, all pairs of at most ``small`` members
+        for step in range(1, small):
+            at = np.flatnonzero(np.arange(len(tile)) + step < end)
+            at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+            out_a.append(node[at])
+            out_b.append(node[at + step])
+        for k in sorted({*np.flatnonzero(sizes > small).tolist(), 0, len(heads) - 1}):
+            part = slice(heads[k], heads[k] + sizes[k])
+            a, b, top, score = compare_tile(node[part], fp[part], radius)
+            out_a.append(a)
+            out_b.append(b)
+            if k in (0, len(heads) - 1):
+                yield rows(_MEMBER, int(tile[heads[k]]), node[part], fp[part].view(np.int64))
+                yield rows(_HUB, int(tile[heads[k]]), node[part][top], fp[part][top].view(np.int64), score)
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        yield rows(_LINK, 0, a[new], b[new])
 
     return run
 
 
+def _cut_tiles(found: DataFrame, radius: int, hubs: int = 8) -> DataFrame:
+    """Links (a, b) between members of a cut tile and the most central of the hubs of all its parts."""
+    hub = found.where(F.col("kind") == _HUB).groupBy("tile").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), F.col("a").alias("hub"), F.col("b").alias("hub_fp")))).alias("hubs"))
+    hub = hub.select("tile", F.explode(F.slice("hubs", 1, hubs)).alias("h")).select("tile", "h.hub", "h.hub_fp")
+    member = found.where(F.col("kind") == _MEMBER).join(F.broadcast(hub), "tile")  # two tiles of each range partition at most
+    near = member.where((F.col("a") != F.col("hub")) & (F.bit_count(F.col("b").bitwiseXOR(F.col("hub_fp"))) <= radius))
+    return near.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted hashes of the distinct word shingles (fewer words: the whole sequence; no word: none)."""
     words = (text or "").encode().translate(_LOWER).split()
@@ -323,21 +398,38 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 12, cell_rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 24, rows: int = 4, bands: int = 16, part_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Nodes (``node``: hash of a distinct text) of all rows' texts, and links (a, b) of texts whose shingle sets are alike enough.
 
-    Fingerprints within ``radius`` bits are candidates: over 98 of 100 texts with a similarity of 0.8 are (more above it).  Of
-    each pair of cells a spanning forest of the closest candidates goes on to the exact comparison of the sets, so
-    the members of a large group don't meet each other one by one.
+    At a similarity of 0.8 no radius of 64-bit fingerprints is both complete and selective: alike texts differ in ten bits and
+    more, and population counts part nothing at that radius.  So tiles are formed by min-hash bands (with 16 bands of 4, texts of
+    similarity 0.8 share one with a probability of 0.9998); within a tile all fingerprints are compared by XOR and bit counts,
+    within a radius that only unlike texts exceed (see ``compare_tile``).  The links it keeps, a few for each member of a tile, go on to the
+    exact comparison of the sets, so the members of a large group don't meet there one by one.
+
+    Tiles are ranged by (tile, node), so that a tile of any size is split; where a range border cuts a tile, the members
+    of all its parts meet the most central members of all its parts.
     """
     keyed = docs.select(F.xxhash64(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    fps = with_fingerprint(keyed, ["node"], "text").withColumnRenamed("__fp", "fp")
-    nodes = written(fps.groupBy("node").agg(F.min("fp").alias("fp")), "texts")
-    histogram = {r["k"]: r["count"] for r in nodes.groupBy(F.bit_count("fp").alias("k")).count().collect()}  # 65 rows at most
-    cells = _cells(histogram, cell_rows)
-    dealt = nodes.select("node", "fp").mapInArrow(_deal_cells(cells, radius), "pair long, second boolean, node long, fp long")
-    near = dealt.groupBy("pair").applyInArrow(_compare_cells(radius), "a long, b long, bits int")
-    near = written(near.select("a", "b").distinct(), "near")
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for at, texts in text_slices(rb.column(1), 2 << 20):
+                fp = np.array([simhash(t) for t in texts.to_pylist()], dtype=np.uint64)
+                signs = np.hstack([fp[:, None], band_keys(texts, shingle, rows, bands)])
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in signs], pa.binary())], names=["node", "signs"])
+
+    nodes = written(keyed.mapInArrow(signed, "node long, signs binary").groupBy("node").agg(F.min("signs").alias("signs")), "texts")  # copies fold here
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            signs = np.frombuffer(b"".join(rb.column(1).to_pylist()), np.int64).reshape(-1, 1 + bands)
+            yield pa.RecordBatch.from_arrays([pa.array(signs[:, 1:].reshape(-1)), pa.array(np.repeat(rb.column(0).to_numpy(), bands)), pa.array(np.repeat(signs[:, 0], bands))], names=["tile", "node", "fp"])
+
+    parts = max(shuffle_partitions(docs.sparkSession), -(-nodes.count() * bands // part_rows))
+    dealt = nodes.mapInArrow(deal, "tile long, node long, fp long").repartitionByRange(parts, "tile", "node").sortWithinPartitions("tile", "node")
+    found = written(dealt.mapInArrow(_compare_tiles(radius), _FOUND), "tiles")
+    near = written(found.where(F.col("kind") == _LINK).select("a", "b").unionByName(_cut_tiles(found, radius)).distinct(), "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,12 +450,12 @@ def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = 5, lea
     return nodes.select("node"), pairs.mapInArrow(alike, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 12, cell_rows: int = 16_384) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, **options: int) -> DataFrame:
     """One row of each group of near duplicates, whole: that with the smallest id (of rows alike in id and text, one).
 
-    Groups are the components of equal texts and of ``similar_links``.  Rows with a null id all stay.
+    Groups are the components of equal texts and of ``similar_links`` (which takes the options).  Rows with a null id all stay.
     """
-    _, links = similar_links(docs, text_col, shingle, least, radius, cell_rows)
+    _, links = similar_links(docs, text_col, shingle, least, **options)
     roots = components(links)
     keyed = docs.where(F.col(id_col).isNotNull()).withColumn("__node", F.xxhash64(F.col(text_col)))
     first = keyed.groupBy("__node").agg(F.min(id_col).alias("__first")).join(roots, F.col("__node") == F.col("node"), "left")
