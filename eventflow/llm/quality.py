@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import Words, gram_hashes, pair
+from eventflow.llm.common import Words, gram_hashes, pair, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
+#: Text that is worked on at a time.
+_PIECE_BYTES = 4 << 20
 _HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 
@@ -152,22 +154,23 @@ def quality_features(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_ro
         raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            b = base_features(rb.column(rb.schema.get_field_index("__text")).to_pylist())
-            failed = base_failed(b)
-            why = np.full(len(b.texts), None, dtype=object)
-            why[failed] = "base"
-            alive = np.flatnonzero(~failed)
-            for rule in cascade:  # only rows that every earlier rule let pass
-                if not len(alive):
-                    break
-                hit = rule.rejects(b.take(alive))
-                why[alive[hit]] = rule.name
-                alive = alive[~hit]
-            kept = np.zeros(len(b.texts), bool)
-            kept[alive] = True
-            made = [b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, failed, kept, pa.array(why.tolist(), pa.string())]
-            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(names))), *(pa.array(x) if not isinstance(x, pa.Array) else x for x in made)], names=[*names, *ours])
+        for whole in batches:
+            for at, texts in text_slices(whole.column(whole.num_columns - 1), _PIECE_BYTES):
+                rb, b = whole.slice(at, len(texts)), base_features(texts.to_pylist())
+                failed = base_failed(b)
+                why = np.full(len(b.texts), None, dtype=object)
+                why[failed] = "base"
+                alive = np.flatnonzero(~failed)
+                for rule in cascade:  # only rows that every earlier rule let pass
+                    if not len(alive):
+                        break
+                    hit = rule.rejects(b.take(alive))
+                    why[alive[hit]] = rule.name
+                    alive = alive[~hit]
+                kept = np.zeros(len(b.texts), bool)
+                kept[alive] = True
+                made = [b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, failed, kept, pa.array(why.tolist(), pa.string())]
+                yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(names))), *(pa.array(x) if not isinstance(x, pa.Array) else x for x in made)], names=[*names, *ours])
 
     out = ", ".join(["`%s` %s" % (f.name.replace("`", "``"), f.dataType.simpleString()) for f in extra] + counts + ["base_failed boolean", "kept boolean", "failed_rule string"])
     return docs.select(*[F.col(f"`{n}`") for n in names], F.col(text_col).alias("__text")).mapInArrow(run, out)
@@ -178,13 +181,14 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     cascade = [next(r for r in rules if r.name == n) for n, _, _ in plan_rules(docs, rules, sample_rows, text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            b = base_features(rb.column(rb.schema.get_field_index(text_col)).to_pylist())
-            alive = np.flatnonzero(~base_failed(b))
-            for rule in cascade:
-                if not len(alive):
-                    break
-                alive = alive[~rule.rejects(b.take(alive))]
-            yield rb.take(pa.array(alive))
+        for whole in batches:
+            for at, texts in text_slices(whole.column(whole.schema.get_field_index(text_col)), _PIECE_BYTES):
+                b = base_features(texts.to_pylist())
+                alive = np.flatnonzero(~base_failed(b))
+                for rule in cascade:
+                    if not len(alive):
+                        break
+                    alive = alive[~rule.rejects(b.take(alive))]
+                yield whole.slice(at, len(texts)).take(pa.array(alive))
 
     return docs.mapInArrow(run, docs.schema)
