@@ -393,6 +393,34 @@ def test_leaks(docs, bench):
     assert left == {r.doc_id for r in docs.collect()} - {12, 13, 14}
 
 
+def test_leaks_of_every_length_are_found(spark):
+    """Items with three words in ten replaced, whatever their length: what settling every passage with every item finds."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(400)]
+    items = [[rng.choice(pool) for _ in range(n)] for n in [*range(15, 23)] * 3 + [*range(50, 57)] * 6]
+    bench = decontaminate.Benchmark.of([(i, " ".join(x)) for i, x in enumerate(items)])
+    texts = []
+    for x in items:
+        leak = list(x)
+        for k in rng.sample(range(len(x) - 5), int(len(x) * 0.3)):
+            leak[k] = f"other{rng.randrange(9999)}"
+        around = [f"around{rng.randrange(9999)}" for _ in range(200)]
+        cut = rng.randrange(60, 140)
+        texts.append(" ".join([*around[:cut], *leak, *around[cut:]]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    p = decontaminate.Passages(pa.array(texts), bench)
+    n = len(bench.vocabulary)
+    m = decontaminate.Matcher(bench, np.eye(n), np.ones(n), 1.0, 0.5, 0.7, 5, 8, 8)
+    brute = {(int(p.doc_of_half[h]), i) for h in range(p.n_halves) for i in range(len(items)) if m._share(p, h, i)}
+    assert got == brute
+    assert got >= {(i, i) for i in range(len(items))}
+
+
 def test_lcs():
     assert decontaminate.lcs([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 3
     assert decontaminate.lcs([1], []) == 0
