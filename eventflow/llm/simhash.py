@@ -233,6 +233,14 @@ def band_keys(texts: pa.Array, shingle: int, rows: int, bands: int) -> np.ndarra
     return out
 
 
+def set_simhash(grams: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes of a set of shingles: repeats count once, as in the similarity."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 4096):
+        ones += np.unpackbits(grams[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(grams), bitorder="little").tobytes(), "little")
+
+
 def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Places of a spanning forest of least weight (ties: by nodes) of the links (a[i], b[i]), by Boruvka's rounds."""
     n_links = len(a)
@@ -404,7 +412,8 @@ def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = 5, lea
     At a similarity of 0.8 no radius of 64-bit fingerprints is both complete and selective: alike texts differ in ten bits and
     more, and population counts part nothing at that radius.  So tiles are formed by min-hash bands (with 16 bands of 4, texts of
     similarity 0.8 share one with a probability of 0.9998); within a tile all fingerprints are compared by XOR and bit counts,
-    within a radius that only unlike texts exceed (see ``compare_tile``).  The links it keeps, a few for each member of a tile, go on to the
+    within a radius that hardly any alike texts exceed: fingerprints are of the sets that the similarity compares, and differ in about ten
+    bits at 0.8 (see ``compare_tile``).  The links it keeps, a few for each member of a tile, go on to the
     exact comparison of the sets, so the members of a large group don't meet there one by one.
 
     Tiles are ranged by (tile, node), so that a tile of any size is split; where a range border cuts a tile, the members
@@ -415,7 +424,7 @@ def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = 5, lea
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for at, texts in text_slices(rb.column(1), 2 << 20):
-                fp = np.array([simhash(t) for t in texts.to_pylist()], dtype=np.uint64)
+                fp = np.array([set_simhash(shingle_set(t, shingle)) for t in texts.to_pylist()], dtype=np.uint64)
                 signs = np.hstack([fp[:, None], band_keys(texts, shingle, rows, bands)])
                 yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in signs], pa.binary())], names=["node", "signs"])
 

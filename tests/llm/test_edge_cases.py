@@ -252,6 +252,18 @@ def test_near_copies_are_found(spark):
     assert len(near) > 200 and len([i for i in near if i in kept]) <= 0.02 * len(near)
 
 
+def test_near_copies_without_repeats_are_found(spark):
+    """A text that repeats one phrase, and its copy that has it once: their shingle sets are all but equal."""
+    import random
+
+    rng, rows = random.Random(8), []
+    for k in range(30):
+        body, phrase = [f"d{k}w{rng.randrange(10**6)}" for _ in range(1000)], [f"p{k}x{i}" for i in range(5)]
+        rows += [(2 * k, " ".join(body + phrase)), (2 * k + 1, " ".join(body + phrase * 46))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == set(range(0, 60, 2))
+
+
 def test_spanning_forest():
     rng = np.random.default_rng(1)
     a, b, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
