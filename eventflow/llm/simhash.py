@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,6 +242,24 @@ def set_simhash(grams: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(grams), bitorder="little").tobytes(), "little")
 
 
+_SKETCH = 64  # bytes
+
+
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """The set's size and the parities of its shingles dealt over 512 bits.
+
+    Each shingle that only one of two sets has flips one bit: sketches never differ in more bits than the sets do in shingles.
+    """
+    odd = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=8 * _SKETCH) & 1
+    return np.int64(len(grams)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _may_be_alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """By lines (size, then the sketch): sets of similarity s differ in (1 - s) / (1 + s) of their sizes' sum, so no alike pair is lost."""
+    most = (1 - least) / (1 + least) * (x[:, 0] + y[:, 0]).astype(float) + 1e-6
+    return (np.abs(x[:, 0].astype(np.int64) - y[:, 0].astype(np.int64)) <= most) & (np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(axis=1, dtype=np.int64) <= most)
+
+
 def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Places of a spanning forest of least weight (ties: by nodes) of the links (a[i], b[i]), by Boruvka's rounds."""
     n_links = len(a)
@@ -389,6 +408,86 @@ def _cut_tiles(found: DataFrame, radius: int, hubs: int = 8) -> DataFrame:
     return near.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
 
 
+_REST = "kind byte, part int, tile long, a long, b long, root long, sketch binary"
+_REST_PA = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("root", pa.int64()), ("sketch", pa.binary())])
+
+
+def _lines(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 1 + _SKETCH // 8)
+
+
+def _apart(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...] | None, radius: int, least: float, rows: int = 512, columns: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (a < b) of (node, fp, root, sketch) within the radius that may be alike and whose roots differ, in pieces: of x with y, or within x."""
+    (n, f, r, s), (m, g, q, t) = x, y or x
+    for i in range(0, len(n), rows):
+        for j in range(0 if y else i, len(m), columns):
+            here, there = np.nonzero((np.bitwise_count(f[i : i + rows, None] ^ g[None, j : j + columns]) <= radius) & (r[i : i + rows, None] != q[None, j : j + columns]))
+            if y is None:
+                once = there + j > here + i
+                here, there = here[once], there[once]
+            may = _may_be_alike(s[here + i], t[there + j], least)
+            here, there = here[may], there[may]
+            if len(here):
+                a, b = n[here + i], m[there + j]
+                yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _unjoined(radius: int, least: float):
+    """Rows sorted by tile to pairs of a tile that no link has joined, and members of the first and the last tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("tile", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("root", pa.int64()), ("sketch", pa.binary())]))
+        tile, node, fp, root = (table.column(i).to_numpy() for i in range(4))
+        if not len(tile):
+            return
+        sketch = _lines(table.column(4))
+        number = TaskContext.get().partitionId()
+
+        def out(kind: int, where: int, a: np.ndarray, b: np.ndarray, of: np.ndarray, lines: pa.Array | None = None) -> pa.RecordBatch:
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, number, np.int32)), pa.array(np.full(n, where, np.int64)), pa.array(a), pa.array(b), pa.array(of), pa.nulls(n, pa.binary()) if lines is None else lines], schema=_REST_PA)
+
+        heads = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        ends = np.concatenate([heads[1:], [len(tile)]])
+        for k in sorted({0, len(heads) - 1}):
+            part = slice(heads[k], ends[k])
+            yield out(_MEMBER, int(tile[heads[k]]), node[part], fp[part], root[part], pa.array([x.tobytes() for x in sketch[part]], pa.binary()))
+        several = np.minimum.reduceat(root, heads) != np.maximum.reduceat(root, heads)
+        held_a, held_b, held = [], [], 0
+        for k in np.flatnonzero(several).tolist():
+            part = slice(heads[k], ends[k])
+            for a, b in _apart((node[part], fp[part].view(np.uint64), root[part], sketch[part]), None, radius, least):
+                held_a.append(a)
+                held_b.append(b)
+                held += len(a)
+                if held > 200_000:
+                    yield out(_LINK, 0, np.concatenate(held_a), np.concatenate(held_b), np.zeros(held, np.int64))
+                    held_a, held_b, held = [], [], 0
+        if held:
+            yield out(_LINK, 0, np.concatenate(held_a), np.concatenate(held_b), np.zeros(held, np.int64))
+
+    return run
+
+
+def _unjoined_across(rest: DataFrame, radius: int, least: float) -> DataFrame:
+    """Pairs (a, b) that no link has joined, of members of one tile in different range partitions: each two parts of a tile meet."""
+    member = rest.where(F.col("kind") == _MEMBER).select("tile", "part", F.col("a").alias("node"), F.col("b").alias("fp"), "root", "sketch")
+    cut = member.groupBy("tile").agg(F.collect_set("part").alias("parts"), F.min("root").alias("low"), F.max("root").alias("high")).where("size(parts) > 1 and low <> high")
+    met = member.join(F.broadcast(cut.select("tile", "parts")), "tile").select("tile", "part", "node", "fp", "root", "sketch", F.explode("parts").alias("other")).where("part <> other")  # two tiles of each range partition at most
+    met = met.select("tile", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "fp", "root", "sketch")
+
+    def meet(group: pa.Table) -> pa.Table:
+        part, low = group.column("part").to_numpy(), group.column("low")[0].as_py()
+        node, fp, root = (group.column(c).to_numpy() for c in ("node", "fp", "root"))
+        sketch = _lines(group.column("sketch"))
+        x, y = ((node[at], fp[at].view(np.uint64), root[at], sketch[at]) for at in (part == low, part != low))
+        found = list(_apart(x, y, radius, least))
+        none = np.empty(0, np.int64)
+        return pa.table([np.concatenate([none, *(f[k] for f in found)]) for k in (0, 1)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return met.groupBy("tile", "low", "high").applyInArrow(meet, "a long, b long").where("a <> b")
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted hashes of the distinct word shingles (fewer words: the whole sequence; no word: none)."""
     words = (text or "").encode().translate(_LOWER).split()
@@ -414,21 +513,23 @@ def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = 5, lea
     similarity 0.8 share one with a probability of 0.9998); within a tile all fingerprints are compared by XOR and bit counts,
     within a radius that hardly any alike texts exceed: fingerprints are of the sets that the similarity compares, and differ in about ten
     bits at 0.8 (see ``compare_tile``).  The links it keeps, a few for each member of a tile, go on to the
-    exact comparison of the sets, so the members of a large group don't meet there one by one.
+    exact comparison of the sets, so the members of a large group don't meet there one by one.  What these confirmed links join is
+    settled; every other pair of a tile within the radius, but for those whose sizes and parity sketches prove them unlike, then goes to the exact comparison as well, so none is lost to the choice of links.
 
     Tiles are ranged by (tile, node), so that a tile of any size is split; where a range border cuts a tile, the members
-    of all its parts meet the most central members of all its parts.
+    of all its parts meet the most central members of all its parts, and in the second round each two parts meet in full.
     """
     keyed = docs.select(F.xxhash64(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for at, texts in text_slices(rb.column(1), 2 << 20):
-                fp = np.array([set_simhash(shingle_set(t, shingle)) for t in texts.to_pylist()], dtype=np.uint64)
+                grams = [shingle_set(t, shingle) for t in texts.to_pylist()]
+                fp = np.array([set_simhash(g) for g in grams], dtype=np.uint64)
                 signs = np.hstack([fp[:, None], band_keys(texts, shingle, rows, bands)])
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in signs], pa.binary())], names=["node", "signs"])
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in signs], pa.binary()), pa.array([parity_sketch(g) for g in grams], pa.binary())], names=["node", "signs", "sketch"])
 
-    nodes = written(keyed.mapInArrow(signed, "node long, signs binary").groupBy("node").agg(F.min("signs").alias("signs")), "texts")  # copies fold here
+    nodes = written(keyed.mapInArrow(signed, "node long, signs binary, sketch binary").groupBy("node").agg(F.min("signs").alias("signs"), F.min("sketch").alias("sketch")), "texts")  # copies fold here
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -436,27 +537,41 @@ def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = 5, lea
             yield pa.RecordBatch.from_arrays([pa.array(signs[:, 1:].reshape(-1)), pa.array(np.repeat(rb.column(0).to_numpy(), bands)), pa.array(np.repeat(signs[:, 0], bands))], names=["tile", "node", "fp"])
 
     parts = max(shuffle_partitions(docs.sparkSession), -(-nodes.count() * bands // part_rows))
-    dealt = nodes.mapInArrow(deal, "tile long, node long, fp long").repartitionByRange(parts, "tile", "node").sortWithinPartitions("tile", "node")
+    dealt = nodes.select("node", "signs").mapInArrow(deal, "tile long, node long, fp long").repartitionByRange(parts, "tile", "node").sortWithinPartitions("tile", "node")
     found = written(dealt.mapInArrow(_compare_tiles(radius), _FOUND), "tiles")
     near = written(found.where(F.col("kind") == _LINK).select("a", "b").unionByName(_cut_tiles(found, radius)).distinct(), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in rb.column(1).to_pylist()], pa.binary())], names=["node", "grams"])
 
-    grams = keyed.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, grams binary")
-    grams = written(grams.groupBy("node").agg(F.min("grams").alias("grams")), "shingles")
-
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             x, y = (rb.column(i).to_pylist() for i in (2, 3))
             ok = [similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least for p, q in zip(x, y, strict=True)]
             yield rb.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = (grams.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
-    pairs = near.join(left, "a").join(right, "b").select("a", "b", "a_grams", "b_grams")
-    return nodes.select("node"), pairs.mapInArrow(alike, "a long, b long")
+    def confirmed(near: DataFrame) -> DataFrame:
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        grams = keyed.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, grams binary")
+        grams = written(grams.groupBy("node").agg(F.min("grams").alias("grams")), "shingles")
+        left, right = (grams.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
+        pairs = near.join(left, "a").join(right, "b").select("a", "b", "a_grams", "b_grams")
+        return written(pairs.mapInArrow(alike, "a long, b long"), "alike")
+
+    links = confirmed(near)
+    roots = components(links).select(F.col("node").alias("__node"), "root")
+    rooted = nodes.join(roots, F.col("node") == F.col("__node"), "left").select("node", "signs", F.coalesce("root", "node").alias("root"), "sketch")
+
+    def deal_rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            (dealt,) = deal(iter([rb.select(["node", "signs"])]))
+            yield pa.RecordBatch.from_arrays([*dealt.columns, *(rb.column(c).take(pa.array(np.repeat(np.arange(len(rb)), bands))) for c in (2, 3))], names=["tile", "node", "fp", "root", "sketch"])
+
+    dealt = rooted.mapInArrow(deal_rooted, "tile long, node long, fp long, root long, sketch binary").repartitionByRange(parts, "tile", "node").sortWithinPartitions("tile", "node")
+    rest = written(dealt.mapInArrow(_unjoined(radius, least), _REST), "rest")
+    more = written(rest.where(F.col("kind") == _LINK).select("a", "b").unionByName(_unjoined_across(rest, radius, least)).distinct(), "near")
+    return nodes.select("node"), links.unionByName(confirmed(more))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, **options: int) -> DataFrame:

@@ -264,6 +264,34 @@ def test_near_copies_without_repeats_are_found(spark):
     assert kept == set(range(0, 60, 2))
 
 
+def test_pairs_of_a_large_templated_tile_are_found(spark):
+    """Pairs on one template: the closest fingerprint in a tile is often that of an unlike text."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    template, rows = [f"t{i}" for i in range(200)], []
+    for k in range(300):
+        own = list(template)
+        for p in rng.sample(range(200), 8):
+            own[p] = f"o{k}x{p}"
+        other = list(own)
+        for p in rng.sample(range(200), 4):
+            other[p] = f"e{k}x{p}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    bands = simhash.band_keys(pa.array([t for _, t in rows]), 5, 1, 2)
+    brute = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (bands[i] == bands[j]).any() and simhash.similarity(sets[i], sets[j]) >= 0.8}
+    label = list(range(len(rows)))
+    for i, j in sorted(brute):
+        low, high = sorted((label[i], label[j]))
+        label = [low if x == high else x for x in label]
+    for parts in (1, 40):  # one part a tile, and tiles cut by range borders
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows=1, bands=2, part_rows=1200 // parts).collect()}
+        assert kept == set(label)
+
+
 def test_spanning_forest():
     rng = np.random.default_rng(1)
     a, b, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
