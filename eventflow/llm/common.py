@@ -129,6 +129,35 @@ class Words:
         return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.vocabulary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(self.vocabulary))
 
 
+class HashedWords:
+    """The words of many texts as places (``codes``, 32 bits) among the sorted distinct word hashes (``keys``).
+
+    Texts are split ``piece_bytes`` at a time, so beyond its result this holds the words of one piece, or of one longer text.
+    ``extra``: hashes that ``keys`` holds too.
+    """
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False, extra: tuple[np.uint64, ...] = (), piece_bytes: int = 2 << 20):
+        chunks = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]
+        hashes, codes, lengths = [], [], [np.empty(0, np.int64)]
+        for chunk in chunks:
+            for _, part in text_slices(chunk, piece_bytes):
+                words = Words(part, lower)
+                hashes.append(words.hashes())
+                codes.append(words.codes.astype(np.int32))
+                lengths.append(words.lengths)
+        self.keys = np.unique(np.concatenate([np.array(extra, np.uint64), *hashes]))
+        for i, own in enumerate(hashes):
+            codes[i] = np.searchsorted(self.keys, own).astype(np.int32)[codes[i]]
+        self.codes = np.concatenate([np.empty(0, np.int32), *codes])
+        self.lengths = np.concatenate(lengths)
+        self.n_docs = len(self.lengths)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
+
+    def room(self) -> np.ndarray:
+        """For each word, the words from it to the end of its text."""
+        return np.repeat(self.starts[1:], self.lengths) - np.arange(len(self.codes))
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted distinct 64-bit keys as compressed byte planes of their differences."""
     if not len(keys):
@@ -178,11 +207,23 @@ def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted values, where each is found first, and for each entry its place among them (32 bits: half of what ``np.unique`` holds)."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return values[new], order[new], place
+
+
 def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys of all parts, and for each entry of the parts in turn its place among them."""
     if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(np.concatenate(parts), return_inverse=True)
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    keys, _, at = ranked(np.concatenate(parts))
+    return keys, at
 
 
 def sliding(values: np.ndarray, width: int, f: np.ufunc, empty: int) -> np.ndarray:
@@ -237,6 +278,22 @@ def text_slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, pa.Array
         at = end
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted`` names, each with as many more underscores as no column of ``taken`` (whatever its case) has."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
