@@ -1,4 +1,4 @@
-"""eventflow: event-stream analytics on Spark DataFrames and Structured Streaming."""
+"""eventflow: event-stream analytics on Spark DataFrames, bounded and unbounded."""
 
 from eventflow.environment import Environment, Options
 from eventflow.session import session

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import enum
 import logging
 import re
+import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from eventflow.session import configure
 from eventflow.stream import DifferentEnvironments, Stream
 
+if TYPE_CHECKING:
+    from eventflow.sources.logs import LogCollector
+    from eventflow.sources.metrics import MetricsCollector
+
 log = logging.getLogger("eventflow")
 
 
@@ -22,7 +31,9 @@ class Options:
     """What a run is given; all durations in milliseconds.
 
     Spark commits offsets and state with every micro-batch, so a periodic checkpoint is the
-    trigger interval and a minimum pause is a lower bound on it; at most one checkpoint is ever pending.
+    trigger interval and a minimum pause is a lower bound on it.  A query has one checkpoint pending at a time; ``max_concurrent`` bounds those that an environment's
+    sinks of one's own commit side by side, and one that waits longer than ``checkpoint_timeout`` for its turn is declined, which is a failure of its query.
+    ``tolerable_failures`` counts over an environment's life: so many times a query is started again from its last checkpoint, the next failure ends the run.
     """
 
     name: str = "eventflow"
@@ -31,10 +42,11 @@ class Options:
     checkpoints_retained: int = 2
     min_pause: int = 0
     tolerable_failures: int = 5
-    max_concurrent: int = 1
-    checkpoint_timeout: int = 10_000
-    buffer_size: int = 2048  # files per micro-batch at most: what bounds the work in flight
-    metrics_interval: int = 60_000
+    max_concurrent: int = 2
+    checkpoint_timeout: int = 600_000
+    buffer_size: int = 2048  # files that ``from_files`` takes into a micro-batch at most: what bounds the work in flight
+    metrics_interval: int = 60_000  # how often metric and log rows go to their files (0: when read)
+    log_level: int = logging.NOTSET  # of the records that a log stream gets
 
     def __post_init__(self) -> None:
         for name in ("periodic_checkpoint", "min_pause", "tolerable_failures", "metrics_interval"):
@@ -51,11 +63,19 @@ class Options:
         return max(self.periodic_checkpoint, self.min_pause)
 
 
+class Status(enum.Enum):
+    READY = "ready"
+    RUNNING = "running"
+    CLOSING = "closing"
+    CLOSED = "closed"
+
+
 @dataclass
 class Sink:
     name: str
     upstream: Stream
     start: Callable[[Environment, str], StreamingQuery | None]
+    ended: Callable[[StreamingQuery, bool, bool], None] | None = None  # (query, failed, started again)
 
 
 @dataclass
@@ -68,10 +88,17 @@ class Environment:
         self.spark.conf.set("spark.sql.streaming.minBatchesToRetain", str(self.options.checkpoints_retained))
         self.graph: dict[str, list[str]] = {}
         self.sinks: list[Sink] = []
-        self.queries: list[StreamingQuery] = []
-        self.failures: dict[str, int] = {}
-        self._running = False
+        self.running: dict[str, StreamingQuery] = {}
+        self.failures, self.errors = 0, []
+        self.status = Status.READY
+        self._watchers: list[threading.Thread] = []
+        self._guard, self._slots = threading.Lock(), threading.BoundedSemaphore(self.options.max_concurrent)
         self._metrics = self._logs = None
+        self._metric_stream = self._log_stream = None
+
+    @property
+    def queries(self) -> list[StreamingQuery]:
+        return list(self.running.values())
 
     # Building
 
@@ -89,11 +116,17 @@ class Environment:
         self.register(name, [])
         return Stream(source if isinstance(source, DataFrame) else source(self.spark), name, self, event_time)
 
-    def to_sink(self, upstream: Stream, name: str, start: Callable[[Environment, str], StreamingQuery | None]) -> None:
+    def from_files(self, name: str, path: str, schema: StructType | str | None = None, fmt: str = "parquet", event_time: str | None = None) -> Stream:
+        """An unbounded source of a folder's files, ``buffer_size`` of them in a batch at most."""
+        from eventflow.sources import files
+
+        return self.from_source(name, files.read_stream(self.spark, path, schema, fmt, self.options.buffer_size), event_time)
+
+    def to_sink(self, upstream: Stream, name: str, start: Callable[[Environment, str], StreamingQuery | None], ended: Callable[[StreamingQuery, bool, bool], None] | None = None) -> None:
         if upstream.environment is not self:
             raise DifferentEnvironments(f"{upstream.name!r} belongs to another environment")
         self.register(name, [upstream.name])
-        self.sinks.append(Sink(name, upstream, start))
+        self.sinks.append(Sink(name, upstream, start, ended))
 
     def validate(self) -> None:
         """Every branch ends in a sink and there is something to run."""
@@ -106,17 +139,67 @@ class Environment:
 
     # Running
 
-    def start(self) -> Environment:
+    def start(self, supervised: bool = False) -> Environment:
+        """Run all sinks; with ``supervised``, a query that fails is started again for as many failures as are tolerable."""
         self.validate()
-        if self._running:
-            raise RuntimeError("already started")
-        self._running = True
+        if self.status is not Status.READY:
+            raise RuntimeError(f"an environment starts once; this one is {self.status.value}")
+        self.status = Status.RUNNING
         for sink in self.sinks:
             query = sink.start(self, self.checkpoint_location(sink.name))
             if query is not None:
-                self.queries.append(query)
+                self.running[sink.name] = query
+                watcher = threading.Thread(target=self._watch, args=(sink, supervised), daemon=True, name=f"eventflow-{sink.name}")
+                self._watchers.append(watcher)
+                watcher.start()
         return self
 
+    def _watch(self, sink: Sink, supervised: bool) -> None:
+        while True:
+            query, error = self.running[sink.name], None
+            try:
+                query.awaitTermination()
+            except Exception as e:  # whatever ends a query
+                error = e
+                log.error("query %s failed: %s", sink.name, e)
+            with self._guard:
+                again = False
+                if error is not None:
+                    self.failures += 1
+                    again = supervised and self.status is Status.RUNNING and self.failures <= self.options.tolerable_failures
+                    if not again:
+                        self.errors.append(error)
+            if sink.ended is not None:
+                sink.ended(query, error is not None, again)
+            if not again:
+                break
+            self.running[sink.name] = sink.start(self, self.checkpoint_location(sink.name))
+        if error is not None and supervised and self.status is Status.RUNNING:
+            for other in self.queries:  # failures aren't tolerable any more: the run ends
+                other.stop()
+
+    def wait(self, timeout: float | None = None) -> bool:
+        """Until all queries have ended and their sinks have heard of it; the first error that ended one is raised."""
+        deadline = None if timeout is None else time.monotonic() + timeout
+        for w in self._watchers:
+            w.join(None if deadline is None else max(0.0, deadline - time.monotonic()))
+        ended = not any(w.is_alive() for w in self._watchers)
+        if ended and self.status is Status.RUNNING:
+            self.status = Status.CLOSED
+        if self.errors:
+            raise self.errors[0]
+        return ended
+
+    @contextmanager
+    def commit_slot(self) -> Iterator[None]:
+        """One of ``max_concurrent`` places for batches that are being committed."""
+        if not self._slots.acquire(timeout=self.options.checkpoint_timeout / 1000):
+            raise TimeoutError(f"declined: no checkpoint of {self.options.max_concurrent} pending ones ended within {self.options.checkpoint_timeout} ms")
+        try:
+            yield
+        finally:
+            self._slots.release()
+
     def checkpoint_location(self, sink: str) -> str:
         return f"{self.options.checkpoint_dir.rstrip('/')}/{self.options.name}/{re.sub(r'[^A-Za-z0-9_.-]', '_', sink)}"
 
@@ -135,27 +218,14 @@ class Environment:
     def stop(self, savepoint: bool = False, timeout: float = 60.0) -> None:
         """End all queries; with ``savepoint``, after what is available has been processed and committed."""
         deadline = time.monotonic() + timeout
+        self.status = Status.CLOSING
         for q in self.queries:
             if savepoint and q.isActive:
                 q.processAllAvailable()
             q.stop()
-        for q in self.queries:
-            q.awaitTermination(max(1, int(deadline - time.monotonic())))
-        self._running = False
-
-    def supervise(self, sink: str, restart: Callable[[], StreamingQuery]) -> StreamingQuery:
-        """Run a query to its end, started again from its checkpoint for as many failures as are tolerable."""
-        self.failures[sink] = 0
-        while True:
-            query = restart()
-            try:
-                query.awaitTermination()
-                return query
-            except Exception:
-                self.failures[sink] += 1
-                log.exception("query %s failed (%d)", sink, self.failures[sink])
-                if self.failures[sink] > self.options.tolerable_failures:
-                    raise
+        for w in self._watchers:
+            w.join(max(1.0, deadline - time.monotonic()))
+        self.status = Status.CLOSED
 
     @property
     def done(self) -> bool:
@@ -163,18 +233,33 @@ class Environment:
 
     # Streams about the run itself
 
-    def metrics_stream(self):
-        """Progress of every query as rows; attached when first asked for."""
+    @property
+    def metrics(self) -> MetricsCollector:
+        """Progress of every query; it is recorded from when this is first asked for."""
         if self._metrics is None:
             from eventflow.sources.metrics import MetricsCollector
 
-            self._metrics = MetricsCollector(self.spark)
+            self._metrics = MetricsCollector(self.spark, self.checkpoint_location("metrics-rows"), self.options.metrics_interval)
         return self._metrics
 
-    def log_stream(self):
-        """Log records as rows, from now on."""
+    @property
+    def logs(self) -> LogCollector:
+        """Log records, from when this is first asked for."""
         if self._logs is None:
             from eventflow.sources.logs import LogCollector
 
-            self._logs = LogCollector(self.spark)
+            self._logs = LogCollector(self.spark, self.checkpoint_location("log-rows"), self.options.metrics_interval)
+            self._logs.setLevel(self.options.log_level)
         return self._logs
+
+    def metrics_stream(self) -> Stream:
+        """The metrics as an unbounded stream of this environment: the same one each time."""
+        if self._metric_stream is None:
+            self._metric_stream = self.from_source("metrics", self.metrics.live(), event_time="at")
+        return self._metric_stream
+
+    def log_stream(self) -> Stream:
+        """The log records as an unbounded stream of this environment: the same one each time."""
+        if self._log_stream is None:
+            self._log_stream = self.from_source("log", self.logs.live(), event_time="time")
+        return self._log_stream

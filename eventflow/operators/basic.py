@@ -7,9 +7,11 @@ scan.  A Python function is taken too; it runs over Arrow batches, once opened p
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
@@ -41,6 +43,21 @@ def in_partitions(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sch
     return df.mapInPandas(run, schema)
 
 
+def hooked(df: DataFrame, rich: Rich | None) -> DataFrame:
+    """The same rows, between ``rich.open`` and ``rich.close`` of each partition: for operators that are Column expressions otherwise."""
+    if rich is None:
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rich.open()
+        try:
+            yield from batches
+        finally:
+            rich.close()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _needed(fn: object, what: str) -> None:
     if fn is None:
         raise ValueError(f"{what} needs a function")
@@ -49,7 +66,7 @@ def _needed(fn: object, what: str) -> None:
 def map_(stream: Stream, name: str, *columns: Column | str, fn: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: StructType | str | None = None, rich: Rich | None = None) -> Stream:
     """One row out for each row in: ``columns`` of it, or ``fn`` of its batch with ``schema``."""
     if columns:
-        return stream.apply(name, lambda df: df.select(*columns))
+        return stream.apply(name, lambda df: hooked(df.select(*columns), rich))
     _needed(fn, "map")
     _needed(schema, "map with a Python function")
 
@@ -62,10 +79,38 @@ def map_(stream: Stream, name: str, *columns: Column | str, fn: Callable[[pd.Dat
     return stream.apply(name, lambda df: in_partitions(df, same_length, schema, rich))
 
 
+_COMPARISONS = frozenset(("EqualTo", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "StartsWith", "EndsWith", "Contains"))
+
+
+def _compared(df: DataFrame, predicate: Column) -> list[str] | None:
+    """The columns that a single comparison of columns and constants reads (it is null exactly if one of them is); None for anything else."""
+    try:
+        expression = df.select(predicate.alias("p"))._jdf.queryExecution().analyzed().projectList().head().child()
+    except AttributeError:  # a client without the plan at hand
+        return None
+    if expression.getClass().getSimpleName() not in _COMPARISONS:
+        return None
+    names, children = [], expression.children()
+    for i in range(children.size()):
+        child = children.apply(i)
+        if child.getClass().getSimpleName() == "AttributeReference":
+            names.append(child.name())
+        elif not child.foldable() or child.nullable():
+            return None
+    return names if names and all(df.columns.count(n) == 1 for n in names) else None
+
+
+def not_true(df: DataFrame, predicate: Column) -> Column:
+    """True where the predicate is false or null, in a form that reaches the scan where the predicate is a plain comparison."""
+    if (names := _compared(df, predicate)) is None:
+        return ~F.coalesce(predicate, F.lit(False))
+    return reduce(lambda a, b: a | b, [F.col("`" + n.replace("`", "``") + "`").isNull() for n in names]) | ~predicate
+
+
 def filter_(stream: Stream, name: str, predicate: Column | None = None, fn: Callable[[pd.DataFrame], Any] | None = None, rich: Rich | None = None) -> Stream:
     """Drops the rows for which the predicate is true; rows for which it is false or null pass."""
     if predicate is not None:
-        return stream.apply(name, lambda df: df.where(~F.coalesce(predicate, F.lit(False))))
+        return stream.apply(name, lambda df: hooked(df.where(not_true(df, predicate)), rich))
     _needed(fn, "filter")
     return stream.apply(name, lambda df: in_partitions(df, lambda pdf: pdf[~pd.Series(fn(pdf), index=pdf.index).fillna(False).astype(bool)], df.schema, rich))
 
@@ -83,7 +128,7 @@ def flat_map(stream: Stream, name: str, values: Column | None = None, alias: str
             rest = [F.col(f"`{c}`") for c in df.columns if c != alias] if keep_columns else ([F.col(stream.event_time)] if stream.event_time else [])
             return df.select(*rest, F.explode(values).alias(alias))
 
-        return stream.apply(name, explode)
+        return stream.apply(name, lambda df: hooked(explode(df), rich))
     _needed(fn, "flat_map")
     _needed(schema, "flat_map with a Python function")
     return stream.apply(name, lambda df: in_partitions(df, fn, schema, rich))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from eventflow.operators.basic import Rich, hooked
 from eventflow.stream import DifferentEnvironments, Stream
 
 #: 1 or 2: the input that a connected row came from.
@@ -27,8 +28,11 @@ def _together(streams: list[Stream], name: str) -> None:
         env.register(name, [s.name for s in streams])
 
 
-def union(streams: list[Stream], name: str) -> Stream:
-    """All rows of all inputs (same columns), duplicates included, in no order; the watermark is the least of the inputs'."""
+def union(streams: list[Stream], name: str, rich: Rich | None = None) -> Stream:
+    """All rows of all inputs (same columns), duplicates included, in no order; the watermark is the least of the inputs'.
+
+    On unbounded input one that stays silent holds that watermark back; ``stateful.operators`` has watermarks by key that leave out idle inputs.
+    """
     name = f"operator.{name}"
     _together(streams, name)
     first = streams[0]
@@ -36,7 +40,7 @@ def union(streams: list[Stream], name: str) -> Stream:
     if len(kinds) > 1:
         raise TypeError(f"the inputs of {name!r} differ in type")
     time = first.event_time if all(s.event_time == first.event_time for s in streams) else None
-    return replace(first, df=reduce(DataFrame.unionByName, (s.df for s in streams)), name=name, event_time=time)
+    return replace(first, df=hooked(reduce(DataFrame.unionByName, (s.df for s in streams)), rich), name=name, event_time=time)
 
 
 def tagged(left: Stream, right: Stream, columns: Iterable[str] = ()) -> DataFrame:

@@ -18,7 +18,7 @@ from eventflow.session import configure
 from eventflow.sinks import sinks
 from eventflow.sources import files, mock
 from eventflow.stream import Stream
-from eventflow.streaming.stateful import CountTrigger, stateful_window
+from eventflow.stateful.windows import CountTrigger, stateful_window
 
 HOUR, MINUTE = 3_600_000, 60_000
 
@@ -225,9 +225,7 @@ def _ran(spark: SparkSession, stream: Stream, mode: str = "append") -> DataFrame
 
     sinks.to_callbacks(stream, "sink", keep, lambda ms: None, mode)
     env.start()
-    for q in env.queries:
-        q.awaitTermination()
-    env.stop()
+    env.wait()
     return spark.read.schema(stream.df.schema).option("basePath", out).option("recursiveFileLookup", "true").parquet(out)
 
 
@@ -268,13 +266,6 @@ class Count:
         return list(acc)
 
 
-def stream_lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stateful windows with allowed lateness; on input in order they equal the plain ones that are closed."""
-    live = _live(spark, sf_dir, lateness_ms=5 * MINUTE).map("cents", "event_ts", "event_type", _cents().alias("cents"))
-    out = live.apply("late", lambda df: stateful_window(df, Tumbling(HOUR), "event_ts", ["event_type"], ["cents"], Count(), "window_start long, n long, sum_cents long", 5 * MINUTE, process=lambda key, s, e, r: [{"window_start": s, "n": r[0], "sum_cents": r[1]}]))
-    return _ran(spark, out, "update")
-
-
 def stream_count_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A custom trigger that fires and purges after every fifth row of a day and type."""
     live = _live(spark, sf_dir).map("cents", "event_ts", "event_type", _cents().alias("cents"))
@@ -293,37 +284,47 @@ def mock_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mock.mock_rows(spark, number=1000, rounds=3).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _live_rows(spark: SparkSession, live: DataFrame) -> DataFrame:
+    """An unbounded stream's rows until now."""
+    where = _folder(spark)
+    live.writeStream.option("checkpointLocation", f"{where}/at").trigger(availableNow=True).format("parquet").start(f"{where}/rows").awaitTermination()
+    return spark.read.schema(live.schema).parquet(f"{where}/rows")
+
+
 def metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of a run, as rows."""
+    """Metrics of a run, read as a stream: rows in, and checkpoints that did not fail."""
     live = _live(spark, sf_dir)
-    metrics = live.environment.metrics_stream()
-    counted = live.window("hourly", event_time(HOUR), aggregates=[F.count(F.lit(1)).alias("n")], keys=["event_type"])
-    _ran(spark, counted)
+    env = live.environment
+    metrics = env.metrics
+    _ran(spark, live.window("hourly", event_time(HOUR), aggregates=[F.count(F.lit(1)).alias("n")], keys=["event_type"]))
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    out = metrics.rows()
     metrics.close()
-    return out.select("kind", "name", "value_long", "value_double", "value_ms")
+    rows = _live_rows(spark, env.metrics_stream().df)
+    mine = rows.where(F.col("name").isin("input_total", "failed_checkpoint"))
+    return mine.groupBy("kind").agg(F.sum(F.when(F.col("name") == "input_total", F.col("value_long"))).alias("rows_in"), F.count(F.when(F.col("name") == "failed_checkpoint", 1)).alias("failed"))
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log records of a run, as rows."""
+    """Log records of a run, read as a stream."""
     from eventflow.environment import log
 
     env = _environment(spark)
-    logs = env.log_stream()
-    log.warning("reading %s", sf_dir, extra={"rows": files.table(spark, sf_dir, "region").count()})
-    out = logs.rows()
+    logs = env.logs
+    n = files.table(spark, sf_dir, "region").count()
+    log.warning("read %d rows", n, extra={"rows": n})
     logs.detach()
-    return out.select("level", "logger_name", "message", F.size("fields").alias("n_fields"))
+    return _live_rows(spark, env.log_stream().df).select("level", "logger_name", "message", F.size("fields").alias("n_fields"), F.col("fields")[0]["integer"].alias("rows"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    from eventflow.plans import stateful
+
+    return stateful.queries() | {
         f.__name__: f
         for f in (
             flagship, filter_drop, filter_keep, filter_null, filter_python, map_project, map_python, flat_map_split, flat_map_empty, flat_map_explode, union_two, union_three, fan_out,
             tumbling_keyed, tumbling_global, tumbling_offset, tumbling_lineitem, window_process, window_passthrough, custom_aggregator, chained_windows, connect_two, co_process, conversation_fold,
-            stream_tumbling_append, stream_filter_map, stream_union_watermark, stream_lateness, stream_count_trigger, processing_time_windows, mock_source, metrics_stream, log_stream,
+            stream_tumbling_append, stream_filter_map, stream_union_watermark, stream_count_trigger, processing_time_windows, mock_source, metrics_stream, log_stream,
         )
     }
 
@@ -373,12 +374,15 @@ ORACLES = {
     "stream_tumbling_append": f"SELECT * FROM ({_tumble(f'{_N}, CAST(sum({_CENTS}) AS BIGINT) AS sum_cents', HOUR)}) WHERE window_end <= (SELECT epoch_ms(max(ts)) FROM events) - {10 * MINUTE}",
     "stream_filter_map": f"SELECT event_id, {_CENTS} AS cents FROM events WHERE NOT coalesce(event_type = 'error', FALSE)",
     "stream_union_watermark": f"SELECT * FROM ({_tumble('2 * count(*) AS n', HOUR)}) WHERE window_end <= (SELECT epoch_ms(max(ts)) FROM events) - {20 * MINUTE}",
-    "stream_lateness": f"SELECT event_type, window_start, n, sum_cents, event_ts AS event_ms FROM ({_tumble(f'{_N}, CAST(sum({_CENTS}) AS BIGINT) AS sum_cents', HOUR)}) WHERE window_end <= (SELECT epoch_ms(max(ts)) FROM events) - {10 * MINUTE}",
     "stream_count_trigger": f"SELECT event_type, event_ms, CAST(CASE WHEN closed THEN c ELSE c // 5 * 5 END AS BIGINT) AS n, CAST(least(c, 5) AS BIGINT) AS most FROM (SELECT event_type, {_window('epoch_ms(ts)', 24 * HOUR)} + {24 * HOUR - 1} AS event_ms, count(*) AS c, event_ms < (SELECT epoch_ms(max(ts)) FROM events) - {10 * MINUTE} AS closed FROM events GROUP BY 1, 2) WHERE closed OR c >= 5",
     "processing_time_windows": _tumble(_N, 5 * MINUTE, ts="make_timestamp(event_id * 1000000)"),
     "mock_source": "SELECT 'mock' AS value, CAST(3000 AS BIGINT) AS n",
+    "metrics_stream": "SELECT 'counter' AS kind, count(*) AS rows_in, CAST(0 AS BIGINT) AS failed FROM events",
+    "log_stream": "SELECT 1 AS level, 'eventflow' AS logger_name, 'read ' || count(*) || ' rows' AS message, 1 AS n_fields, count(*) AS rows FROM region",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from eventflow.plans import stateful
+
+    return stateful.ORACLES | ORACLES

@@ -29,3 +29,23 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def append_lines(spark: SparkSession, folder: str, name: str, lines: list[str]) -> None:
+    """A new file of lines in a folder of any file system that Spark reaches; readers see it whole or not at all."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    hidden = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_{name}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(hidden)
+    try:
+        out.write(bytearray("".join(f"{line}\n" for line in lines).encode()))
+    finally:
+        out.close()
+    fs.rename(hidden, target)
+
+
+def make_folder(spark: SparkSession, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder

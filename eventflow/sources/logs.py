@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime
 import logging
-import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventflow.sources.recorder import Recorder
+
 SCHEMA = (
     "level int, time timestamp, logger_name string, message string, caller struct<defined:boolean,file:string,line:int,function:string>, stack string, "
     "fields array<struct<key:string,type:string,integer:bigint,string:string>>"
@@ -21,12 +22,15 @@ def level_of(record_level: int) -> int:
     return next((ours for theirs, ours in reversed(_LEVELS) if record_level >= theirs), -1)
 
 
+_COLUMNS = ("level", "time", "logger_name", "message", "caller", "stack", "fields")
+
+
 class LogCollector(logging.Handler):
-    """A handler that holds records (the latest ``limit``) from its making on, whether or not anything reads them yet."""
+    """A handler that records from its making on, whether or not anything reads yet; rows go to files of ``folder`` every ``interval_ms``."""
 
-    def __init__(self, spark: SparkSession, logger: str = "eventflow", limit: int = 100_000):
+    def __init__(self, spark: SparkSession, folder: str, interval_ms: int = 0, logger: str = "eventflow"):
         super().__init__(logging.NOTSET)
-        self.spark, self.limit, self._rows, self._guard = spark, limit, [], threading.Lock()
+        self.recorder = Recorder(spark, folder, SCHEMA, _COLUMNS, interval_ms)
         self._logger = logging.getLogger(logger)
         self._logger.addHandler(self)
 
@@ -35,20 +39,21 @@ class LogCollector(logging.Handler):
         for k, v in vars(record).items():
             if k not in _OWN:
                 whole = isinstance(v, int) and not isinstance(v, bool) and -(2**63) <= v < 2**63
-                fields.append((k, type(v).__name__, v if whole else None, None if whole else str(v)))
-        stack = self.format_exception(record)
-        row = (level_of(record.levelno), datetime.datetime.fromtimestamp(record.created, datetime.timezone.utc), record.name, record.getMessage(), (True, record.pathname, record.lineno, record.funcName), stack, fields)
-        with self._guard:
-            self._rows.append(row)
-            del self._rows[: -self.limit]
+                fields.append({"key": k, "type": type(v).__name__, "integer": v if whole else None, "string": None if whole else str(v)})
+        caller = {"defined": True, "file": record.pathname, "line": record.lineno, "function": record.funcName}
+        when = datetime.datetime.fromtimestamp(record.created, datetime.timezone.utc)
+        self.recorder.report((level_of(record.levelno), when, record.name, record.getMessage(), caller, self.format_exception(record), fields))
 
     @staticmethod
     def format_exception(record: logging.LogRecord) -> str | None:
         return logging.Formatter().formatException(record.exc_info) if record.exc_info else record.stack_info
 
     def rows(self) -> DataFrame:
-        with self._guard:
-            return self.spark.createDataFrame(list(self._rows), SCHEMA)
+        return self.recorder.rows()
+
+    def live(self) -> DataFrame:
+        return self.recorder.live()
 
     def detach(self) -> None:
         self._logger.removeHandler(self)
+        self.recorder.close()

@@ -1,4 +1,4 @@
-"""A stream: a (batch or streaming) DataFrame with a name and, once assigned, an event-time column."""
+"""A stream: a (bounded or unbounded) DataFrame with a name and, once assigned, an event-time column."""
 
 from __future__ import annotations
 

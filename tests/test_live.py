@@ -11,7 +11,7 @@ from eventflow.plans.queries import Count
 from eventflow.sinks import sinks
 from eventflow.sources import files, mock
 from eventflow.sources.custom import source_stream
-from eventflow.streaming.stateful import CountTrigger, TriggerResult, connect_stream, stateful_window
+from eventflow.stateful.windows import CountTrigger, TriggerResult, connect_stream, stateful_window
 
 
 def put(folder, batches):

@@ -128,7 +128,7 @@ def test_plans_push_down(env, spark, sf):
 def test_log_stream_before_reading(env):
     from eventflow.environment import log
 
-    logs = env.log_stream()
+    logs = env.logs
     log.error("one", extra={"n": 5})
     row = logs.rows().collect()[0]
     assert row.level == 2 and row.message == "one" and row.fields[0].integer == 5

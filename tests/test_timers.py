@@ -3,7 +3,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from eventflow.functions.windows import Tumbling
-from eventflow.streaming.timers import BoundedOutOfOrderness, CombinedWatermark, Monotone, Timer, TimerQueue, WithIdleness
+from eventflow.stateful.timers import BoundedOutOfOrderness, CombinedWatermark, Monotone, Timer, TimerQueue, WithIdleness
 
 
 def test_two_inputs():
