@@ -2,9 +2,9 @@
 
 Vocabulary used by the operators
 --------------------------------
-block   a set of documents of bounded size that one task holds at a time; documents
-        go to blocks by a hash of id and text, so no source or copy group makes a
-        block large.
+block   a set of documents of bounded size that one task holds at a time: runs of rows
+        as they are read, cut by their size, so no source, key or copy group makes a
+        block large and texts need not be shuffled.
 shard   a range of the 64-bit key space (its leading bits).  Each block sends a
         shard only its *distinct* keys, so a key that a third of all rows hold
         arrives once per block.
@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +51,56 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
+    """The shuffles made for a table that has been written are needed by nothing else: their files go with it."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+    """``df`` written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    Inside ``finished`` it lasts until that ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/eventflow/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    _write(df, path, partition_by)
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written; all that was written for it on the way is removed."""
+    before = _SCRATCH.get()
+    held: list[str] = []
+    token = _SCRATCH.set(held)
+    try:
+        out = make()
+        path = f"{shared_dir(spark)}/eventflow/{name}-{uuid.uuid4().hex}"
+        _write(out, path)
+        out = spark.read.schema(out.schema).parquet(path)
+    finally:
+        _SCRATCH.reset(token)
+        for p in held:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(p)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    if before is not None:
+        before.append(path)
+    return out
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of all texts (two numbers reach the driver)."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("b")).first()
@@ -67,20 +111,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def n_blocks(spark: SparkSession, n_bytes: int, block_bytes: int) -> int:
-    """Blocks of about ``block_bytes`` of text each, and enough of them to keep every core busy."""
-    return max(1, math.ceil(n_bytes / block_bytes), shuffle_partitions(spark))
-
-
 def n_shards(n_bytes: int, shard_bytes: int) -> int:
     """A power of two that grows with the text."""
     return 1 << max(0, math.ceil(math.log2(max(1, n_bytes / shard_bytes))))
 
 
-def block_of(blocks: int, *cols: str) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(blocks)).cast("int")
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit words."""
     x = (x ^ (x >> U64(30))) * _M1
@@ -274,7 +309,9 @@ def text_slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, pa.Array
     while at < len(texts):
         before = int(size[at - 1]) if at else 0
         end = max(at + 1, int(np.searchsorted(size, before + max_bytes, side="right")))
-        yield at, texts.slice(at, end - at)
+        part = texts.slice(at, end - at)
+        # a copy: string kernels of some Arrow versions misread arrays that begin inside their buffers, and these would be held whole
+        yield at, part.take(pa.array(np.arange(len(part)))) if len(part) < len(texts) else part
         at = end
 
 
@@ -294,6 +331,24 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, of_block: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``of_block(number, rows)`` for runs of rows (columns ``id``, ``text``) of about ``block_bytes`` of text, or one longer text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size, k = TaskContext.get().partitionId() << 32, [], 0, 0
+        for rb in batches:
+            for at, texts in text_slices(rb.column(1), block_bytes):
+                if held and size + texts.nbytes > block_bytes:
+                    yield from of_block(first | k, pa.Table.from_batches(held)).to_batches()
+                    held, size, k = [], 0, k + 1
+                held.append(pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), texts], names=["id", "text"]))
+                size += texts.nbytes
+        if held:
+            yield from of_block(first | k, pa.Table.from_batches(held)).to_batches()
+
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema)
+
+
 def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
