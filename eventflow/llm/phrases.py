@@ -17,7 +17,8 @@ start anywhere else is repeated, and the words that repeated windows cover go.
 
 No cap or sample is used: a phrase that a third of all documents hold reaches its
 shard once per block.  Words are compared by 64-bit hashes.  Null text: no words.  Rows are
-judged one by one, so repeated rows are repeats of each other.
+judged one by one, so repeated rows are repeats of each other.  A very long text is a block of its own
+at most.  Ids may be null and of any type; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from eventflow.llm.common import (
     U64,
-    Words,
-    block_of,
+    HashedWords,
+    col,
+    finished,
     gram_hashes,
+    in_blocks,
     merged,
-    n_blocks,
     n_shards,
     pack_bits,
     pack_keys,
@@ -47,24 +50,25 @@ from eventflow.llm.common import (
     text_bytes,
     unpack_bits,
     unpack_keys,
+    written,
 )
 
 ANCHOR = 8
 _TOP = np.iinfo(np.uint64).max
-_SENT = "shard int, block int, n int, keys binary, many binary"
-_SENT_PA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
-_REPLY = "step int, block int, shard int, n int, again binary"
-_REPLY_PA = pa.schema([("step", pa.int32()), ("block", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("again", pa.binary())])
+_SENT = "shard int, block long, n int, keys binary, many binary"
+_SENT_PA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
+_REPLY = "step int, block long, shard int, n int, again binary"
+_REPLY_PA = pa.schema([("step", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("n", pa.int32()), ("again", pa.binary())])
 
 
 class Block:
     """A block's words, phrase hashes and window starts."""
 
     def __init__(self, texts: pa.ChunkedArray | pa.Array, width: int):
-        self.words = Words(texts)
+        self.words = HashedWords(texts)
         self.width, n = width, len(self.words.codes)
-        self.hashed = self.words.hashes()[self.words.codes] if n else np.empty(0, np.uint64)
-        room = self.words.starts[self.words.doc + 1] - np.arange(n)
+        self.hashed = self.words.keys[self.words.codes] if n else np.empty(0, np.uint64)
+        room = self.words.room()
         self.is_window = room >= width
         phrases = gram_hashes(self.hashed, ANCHOR) if n else np.empty(0, np.uint64)
         phrases[room < ANCHOR] = _TOP
@@ -121,10 +125,28 @@ def _flags(replies: list[dict], step: int) -> np.ndarray:
     return np.concatenate([unpack_bits(r["again"], r["n"]) for r in rows]) if rows else np.empty(0, bool)
 
 
+_STATE = "block long, rows binary"
+_STATE_PA = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
+
+
+def _gathered(number: int, rows: pa.Table) -> pa.Table:
+    """A block's ids and texts in one value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows, max_chunksize=4096)
+    return pa.table([[number], [sink.getvalue().to_pybytes()]], schema=_STATE_PA)
+
+
+def _rows(state: pa.Table | pa.RecordBatch, at: int = 0) -> pa.Table:
+    return pa.ipc.open_stream(state.column("rows")[at].as_buffer()).read_all()
+
+
 def _send_anchors(width: int, shards: int):
-    def run(docs: pa.Table) -> pa.Table:
-        block = Block(docs.column("__text"), width)
-        return _sent(docs.column("__block")[0].as_py(), block.phrases[block.anchors()], shards)[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i in range(len(rb)):
+                block = Block(_rows(rb, i).column("text"), width)
+                yield from _sent(rb.column("block")[i].as_py(), block.phrases[block.anchors()], shards)[0].to_batches()
 
     return run
 
@@ -136,21 +158,22 @@ def _candidates(block: Block, replies: list[dict]) -> np.ndarray:
 
 
 def _send_windows(width: int, shards: int):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        if not docs.num_rows:
+    def run(state: pa.Table, replies: pa.Table) -> pa.Table:
+        if not state.num_rows:
             return table_of(_SENT_PA, [])
-        block = Block(docs.column("__text"), width)
+        block = Block(_rows(state).column("text"), width)
         starts = _candidates(block, replies.to_pylist())
-        return _sent(docs.column("__block")[0].as_py(), gram_hashes(block.hashed, width)[starts], shards)[0]
+        return _sent(state.column("block")[0].as_py(), gram_hashes(block.hashed, width)[starts], shards)[0]
 
     return run
 
 
-def passages(repeated: np.ndarray, width: int, starts: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+def passages(repeated: np.ndarray, width: int, starts: np.ndarray) -> list[tuple[int, int]]:
     """Word ranges of the maximal runs of repeated windows (none crosses a document)."""
     if not len(repeated):
         return []
-    cut = np.flatnonzero((np.diff(repeated) != 1) | (doc[repeated[1:]] != doc[repeated[:-1]])) + 1
+    doc = np.searchsorted(starts, repeated, side="right")
+    cut = np.flatnonzero((np.diff(repeated) != 1) | (doc[1:] != doc[:-1])) + 1
     heads, tails = np.concatenate([[0], cut]), np.concatenate([cut, [len(repeated)]]) - 1
     return list(zip(repeated[heads].tolist(), (repeated[tails] + width).tolist(), strict=True))
 
@@ -201,7 +224,7 @@ def located(codes: np.ndarray, starts: np.ndarray, ranges: list[tuple[int, int]]
 
 
 def _covered(docs: pa.Table, replies: pa.Table, width: int) -> tuple[Block, np.ndarray]:
-    block = Block(docs.column("__text"), width)
+    block = Block(docs.column("text"), width)
     got = replies.to_pylist()
     starts = _candidates(block, got)
     if not len(starts):
@@ -209,19 +232,22 @@ def _covered(docs: pa.Table, replies: pa.Table, width: int) -> tuple[Block, np.n
     _, at = np.unique(gram_hashes(block.hashed, width)[starts], return_inverse=True)
     repeated = starts[_flags(got, 2)[at]]
     words = block.words
-    return block, located(words.codes, words.starts, passages(repeated, width, words.starts, words.doc))
+    return block, located(words.codes, words.starts, passages(repeated, width, words.starts))
 
 
-def _report(width: int, names: list[str]):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+def _report(width: int, schema: pa.Schema):
+    def run(state: pa.Table, replies: pa.Table) -> pa.Table:
+        if not state.num_rows:
+            return schema.empty_table()
+        docs = _rows(state)
         block, gone = _covered(docs, replies, width)
         starts, n_removed, sha = block.words.starts, [], []
-        for s, e, t in zip(starts[:-1].tolist(), starts[1:].tolist(), docs.column("__text").to_pylist(), strict=True):
-            words = (t or "").encode().split()
+        for s, e, t in zip(starts[:-1].tolist(), starts[1:].tolist(), docs.column("text"), strict=True):
+            words = (t.as_py() or "").encode().split()
             cut = gone[s:e]
             n_removed.append(int(cut.sum()))
             sha.append(hashlib.sha256(b" ".join(w for w, c in zip(words, cut.tolist(), strict=True) if not c) if n_removed[-1] else b" ".join(words)).hexdigest())
-        return pa.table([docs.column("__id"), pa.array(block.words.lengths), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=names)
+        return pa.table([docs.column("id").cast(schema.field(0).type), pa.array(block.words.lengths), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], schema=schema)
 
     return run
 
@@ -230,14 +256,18 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per row: id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     if width < ANCHOR:
         raise ValueError(f"windows have at least {ANCHOR} words")
-    spark = docs.sparkSession
+    return finished(docs.sparkSession, "phrases", lambda: _repeated(docs, id_col, text_col, width, block_bytes, shard_bytes))
+
+
+def _repeated(docs: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int, shard_bytes: int) -> DataFrame:
     _, n_bytes = text_bytes(docs, text_col)
-    blocks, shards = n_blocks(spark, n_bytes, block_bytes), n_shards(n_bytes, shard_bytes)
-    kind = docs.schema[id_col].dataType.simpleString()
-    blocked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__block", block_of(blocks, "__id", "__text"))
-    first = blocked.groupBy("__block").applyInArrow(_send_anchors(width, shards), _SENT).groupBy("shard").applyInArrow(_found_again(1), _REPLY)
-    windows = blocked.groupBy("__block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(width, shards), _SENT)
+    shards = n_shards(n_bytes, shard_bytes)
+    states = written(in_blocks(docs, id_col, text_col, block_bytes, _gathered, _STATE), "blocks")
+    first = states.mapInArrow(_send_anchors(width, shards), _SENT).groupBy("shard").applyInArrow(_found_again(1), _REPLY)
+    windows = states.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(width, shards), _SENT)
     second = windows.groupBy("shard").applyInArrow(_found_again(2), _REPLY)
-    names = [id_col, "n_words", "n_removed", "kept_sha256"]
     every = first.unionByName(second)
-    return blocked.groupBy("__block").cogroup(every.groupBy("block")).applyInArrow(_report(width, names), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    made = docs.select(col(id_col)).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    schema = pa.schema([(id_col, id_type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    return states.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_report(width, schema), made)
