@@ -12,7 +12,9 @@ them, or white space beyond ASCII) are split whole.
 
 Merges run on ranks read from the tokenizer file, after a proof that the file's merge
 order and its ids agree.  A special token's string inside a text is cut out first, as the
-library does by default.  Null or empty texts have no tokens.
+library does by default.  Null or empty texts have no tokens.  Texts are read a piece at a time, a
+very long one alone; rows are judged one by one, so repeated rows and null ids need no care.  Other columns are not read, so
+their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventflow.llm.common import col, text_slices
+
+#: Text that is worked on at a time.
+_PIECE_BYTES = 4 << 20
 #: How byte-level tokenizers split before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts in which a piece's splitting could depend on the piece next to it.
@@ -151,9 +157,10 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
             _COUNTERS.clear()
             counter = _COUNTERS[hash(text)] = TokenCounter(text)
         for rb in batches:
-            n = counter.of_texts(rb.column(1))
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            for at, texts in text_slices(rb.column(1), _PIECE_BYTES):
+                n = counter.of_texts(texts)
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), rb.column(2).slice(at, len(texts)), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text"), size.alias("__bytes")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    made = docs.select(col(id_col)).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    size = F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long")
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text"), size.alias("bytes")).mapInArrow(run, made)
