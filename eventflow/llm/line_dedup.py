@@ -11,7 +11,9 @@ document that loses any.
 
 Null or empty text: one empty line, kept.  A null id counts as a document below every
 other id.  Rows of equal id count as one document; those of equal id and text share
-their decisions.  Line keys are compared by a 128-bit hash.
+their decisions.  Ids are whole numbers; others are refused with a TypeError before anything runs.  Line keys are
+compared by a 128-bit hash.  Texts are read a piece at a time, a very long one alone.  Other columns stay as they are, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -26,11 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from eventflow.llm.common import WS, shuffle_partitions, text_bytes, written
+from eventflow.llm.common import WS, col, finished, free_names, shuffle_partitions, text_bytes, text_slices, written
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _NULL_ID = -(1 << 63)
+#: Text that is worked on at a time.
+_PIECE_BYTES = 4 << 20
 _LINE = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32())])
 _SEEN = pa.schema([("kind", pa.int8()), *_LINE])
 
@@ -43,18 +48,19 @@ def line_key(line: str) -> str:
 def _line_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            hashes, doc, row, pos = [], [], [], []
-            for d, r, t in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
-                if not t or len(t) < min_chars:
-                    continue
-                for i, line in enumerate(t.split("\n")):
-                    if len(line) >= min_chars and len(key := line_key(line)) >= min_chars:
-                        hashes.append(xxhash.xxh3_128_digest(key.encode()))
-                        doc.append(d)
-                        row.append(r)
-                        pos.append(i)
-            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int32())], schema=_LINE)
+            for at, texts in text_slices(rb.column(2), _PIECE_BYTES):
+                hashes, doc, row, pos = [], [], [], []
+                for d, r, t in zip(*(rb.column(i).slice(at, len(texts)).to_pylist() for i in range(2)), texts.to_pylist(), strict=True):
+                    if not t or len(t) < min_chars:
+                        continue
+                    for i, line in enumerate(t.split("\n")):
+                        if len(line) >= min_chars and len(key := line_key(line)) >= min_chars:
+                            hashes.append(xxhash.xxh3_128_digest(key.encode()))
+                            doc.append(d)
+                            row.append(r)
+                            pos.append(i)
+                h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int32())], schema=_LINE)
 
     return run
 
@@ -105,8 +111,15 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, lines_per_partition: int = 1_000_000) -> DataFrame:
     """(doc, row, bitmap) for documents that lose lines; ``row`` is the hash of the text; lines past the bitmap stay."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    lines = keyed.mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc long, row long, pos int")
+    return finished(docs.sparkSession, "bitmaps", lambda: _keep_bitmaps(docs, id_col, text_col, min_chars, min_docs, lines_per_partition))
+
+
+def _keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, lines_per_partition: int) -> DataFrame:
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col!r} is no column of whole numbers, so there is no largest id")
+    keyed = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(col(text_col)).alias("row"), col(text_col).alias("text"))
+    # written first: ranging reads its input twice
+    lines = written(keyed.mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc long, row long, pos int"), "lines")
     _, n_bytes = text_bytes(docs, text_col)
     parts = max(shuffle_partitions(docs.sparkSession), math.ceil(n_bytes / min_chars / lines_per_partition))
     key = ["h1", "h2", "doc", "row", "pos"]
@@ -133,10 +146,11 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> tuple[list[str], int]:
 
 
 def _with_bitmaps(docs: DataFrame, columns: list[str], id_col: str, text_col: str, **options: int) -> DataFrame:
-    maps = keep_bitmaps(docs, id_col, text_col, **options)
-    left = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("__doc"), F.xxhash64(F.col(text_col)).alias("__row"))
-    maps = maps.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("bitmap").alias("__bitmap"))
-    return left.join(maps, ["__doc", "__row"], "left").select(*[F.col(f"`{c}`") for c in columns], "__bitmap")
+    """``columns`` and, last, the bitmap of each row."""
+    doc, row, bitmap, their_doc, their_row = free_names(docs.columns, "__doc", "__row", "__bitmap", "__their_doc", "__their_row")
+    maps = keep_bitmaps(docs, id_col, text_col, **options).select(F.col("doc").alias(their_doc), F.col("row").alias(their_row), F.col("bitmap").alias(bitmap))
+    left = docs.select(*[col(c) for c in columns], F.coalesce(col(id_col).cast("long"), F.lit(_NULL_ID)).alias(doc), F.xxhash64(col(text_col)).alias(row))
+    return left.join(maps, (F.col(doc) == F.col(their_doc)) & (F.col(row) == F.col(their_row)), "left").select(*[col(c) for c in columns], bitmap)
 
 
 def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
@@ -144,33 +158,36 @@ def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            n, dropped, sha = [], [], []
-            for t, m in zip(rb.column(1).to_pylist(), rb.column(2).to_pylist(), strict=True):
-                if m is None:
-                    t = t or ""
-                    n.append(t.count("\n") + 1)
-                    dropped.append(0)
-                    sha.append(hashlib.sha256(t.encode()).hexdigest())
-                else:
-                    lines, before = kept_lines(t, m)
-                    n.append(before)
-                    dropped.append(before - len(lines))
-                    sha.append(hashlib.sha256("\n".join(lines).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], names=[id_col, "n_lines", "n_dropped", "kept_sha256"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return _with_bitmaps(docs, [id_col, text_col], id_col, text_col, **options).mapInArrow(run, f"`{id_col}` {kind}, n_lines long, n_dropped long, kept_sha256 string")
+            for at, texts in text_slices(rb.column(1), _PIECE_BYTES):
+                n, dropped, sha = [], [], []
+                for t, m in zip(texts.to_pylist(), rb.column(2).slice(at, len(texts)).to_pylist(), strict=True):
+                    if m is None:
+                        t = t or ""
+                        n.append(t.count("\n") + 1)
+                        dropped.append(0)
+                        sha.append(hashlib.sha256(t.encode()).hexdigest())
+                    else:
+                        lines, before = kept_lines(t, m)
+                        n.append(before)
+                        dropped.append(before - len(lines))
+                        sha.append(hashlib.sha256("\n".join(lines).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())], names=[id_col, "n_lines", "n_dropped", "kept_sha256"])
+
+    made = docs.select(col(id_col)).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+    return _with_bitmaps(docs, [id_col, text_col], id_col, text_col, **options).mapInArrow(run, made)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """All rows and columns; the text without the lines that go (a null text stays null)."""
     names = docs.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            at = rb.schema.get_field_index(text_col)
-            texts = [t if m is None else "\n".join(kept_lines(t, m)[0]) for t, m in zip(rb.column(at).to_pylist(), rb.column(rb.num_columns - 1).to_pylist(), strict=True)]
-            cols = [pa.array(texts, rb.schema.field(at).type) if i == at else rb.column(i) for i in range(rb.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            for begin, texts in text_slices(rb.column(at), _PIECE_BYTES):
+                maps = rb.column(len(names)).slice(begin, len(texts)).to_pylist()
+                kept = [t if m is None else "\n".join(kept_lines(t, m)[0]) for t, m in zip(texts.to_pylist(), maps, strict=True)]
+                cols = [pa.array(kept, texts.type) if i == at else rb.column(i).slice(begin, len(texts)) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return _with_bitmaps(docs, names, id_col, text_col, **options).mapInArrow(run, docs.schema)
