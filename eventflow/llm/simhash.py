@@ -11,7 +11,9 @@ Components come from distributed large-star / small-star rounds.
 
 No text, or no word: fingerprint zero, linked like any other.  Fewer than three words:
 one shingle of all words.  Null ids: fingerprinted, but they take no part as a
-component's smallest id; a component without any id has a null one.
+component's smallest id; a component without any id has a null one.  Repeated rows and ids: each row has its line.  Ids
+of any type that has an order.  Texts are read a piece at a time, a very long one alone.  Other columns are not read here; ``drop_near_duplicates``
+returns them as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import U64, Words, gram_hashes, pair, shuffle_partitions, text_slices, written
+from eventflow.llm.common import U64, Words, col, finished, free_names, gram_hashes, pair, shuffle_partitions, text_slices, written
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -53,15 +55,17 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, columns: list[str], text_col: str = "text", name: str = "__fp") -> DataFrame:
-    """``columns`` and the fingerprint as a signed long."""
-    schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema.add(name, "long")
+    """``columns`` and the fingerprint as a signed long called ``name``, which no column may be called."""
+    schema = docs.select(*[col(c) for c in columns]).schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            fp = np.array([simhash(t) for t in rb.column(len(columns)).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(len(columns))), pa.array(fp)], names=[*columns, name])
+            for at, texts in text_slices(rb.column(len(columns)), 4 << 20):
+                fp = np.array([simhash(t) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(rb.column(i).slice(at, len(texts)) for i in range(len(columns))), pa.array(fp)], names=[*columns, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    (text,) = free_names([*columns, name], "__text")
+    return docs.select(*[col(c) for c in columns], col(text_col).alias(text)).mapInArrow(run, schema)
 
 
 def _near_tiles(radius: int) -> np.ndarray:
@@ -79,25 +83,57 @@ def _tile_id(counts: np.ndarray) -> np.ndarray:
     return ((counts[:, 0] * 32 + counts[:, 1]) * 32 + counts[:, 2]) * 32 + counts[:, 3]
 
 
-def _deal(radius: int, pieces: int):
-    """Each fingerprint to its own tile as resident (piece by hash) and to the near tiles as visitor (to all their pieces)."""
+class Pieces:
+    """How crowded tiles are cut: residents of tile t in ``own[t]`` pieces, and what visits it in ``guests[t]`` pieces at most."""
+
+    def __init__(self, crowded: dict[int, int], radius: int):
+        self.own, self.guests = dict(crowded), {}
+        for tile, n in crowded.items():
+            counts = np.array([[tile >> 15, tile >> 10 & 31, tile >> 5 & 31, tile & 31]])
+            for step in _near_tiles(radius):
+                for there in (counts + step, counts - step):
+                    if ((there >= 0) & (there <= 16)).all():
+                        t = int(_tile_id(there)[0])
+                        self.guests[t] = max(self.guests.get(t, 1), n)
+
+    @staticmethod
+    def _of(table: dict[int, int], tiles: np.ndarray) -> np.ndarray:
+        if not table:
+            return np.ones(len(tiles), np.int64)
+        return np.fromiter((table.get(t, 1) for t in tiles.tolist()), np.int64, len(tiles))
+
+    def mine(self, fp: np.ndarray, tiles: np.ndarray) -> np.ndarray:
+        """The piece of its own tile that a fingerprint lies in."""
+        return (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % self._of(self.own, tiles)
+
+    def groups(self, tiles: np.ndarray, piece: np.ndarray, resident: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(group, row) of each row in each piece that it meets: a resident all pieces of guests, a guest all pieces of residents."""
+        times = self._of(self.guests if resident else self.own, tiles)
+        row = np.repeat(np.arange(len(tiles)), times)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        own, guest = (piece[row], other) if resident else (other, piece[row])
+        return tiles[row] << 42 | own << 21 | guest, row
+
+
+def _deal(radius: int, pieces: Pieces):
+    """Each fingerprint to its own tile as resident and to the near tiles (its own among them) as guest."""
     steps = _near_tiles(radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             fp = rb.column(0).to_numpy()
             counts = _tile_of(fp)
-            mine = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % pieces
-            tile, piece, role, who = [_tile_id(counts)], [mine], [np.zeros(len(fp), np.int8)], [fp]
+            mine = pieces.mine(fp, _tile_id(counts))
+            group, row = pieces.groups(_tile_id(counts), mine, True)
+            group, role, who = [group], [np.zeros(len(row), np.int8)], [fp[row]]
             for step in steps:
                 there = counts + step
                 ok = ((there >= 0) & (there <= 16)).all(axis=1)
-                for p in range(pieces):
-                    tile.append(_tile_id(there[ok]))
-                    piece.append(np.full(int(ok.sum()), p, np.int64))
-                    role.append(np.full(int(ok.sum()), 1 if step.any() else 2, np.int8))
-                    who.append(fp[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tile) * pieces + np.concatenate(piece)), pa.array(np.concatenate(role)), pa.array(np.concatenate(who))], names=["tile", "role", "fp"])
+                g, row = pieces.groups(_tile_id(there[ok]), mine[ok], False)
+                group.append(g)
+                role.append(np.ones(len(row), np.int8))
+                who.append(fp[ok][row])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), pa.array(np.concatenate(role)), pa.array(np.concatenate(who))], names=["tile", "role", "fp"])
 
     return run
 
@@ -151,10 +187,12 @@ def _compare(radius: int, side: int = 2048):
 def near_links(fingerprints: DataFrame, radius: int = 2, tile_rows: int = 200_000) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column ``fp``) within ``radius`` bits.
 
-    ``tile_rows``: residents of a tile beyond which tiles are cut in more pieces (their number follows the rows).
+    ``tile_rows``: residents (and guests of one tile) beyond which a tile is cut in pieces.
     """
-    n = fingerprints.count()
-    pieces = max(1, round(n * 0.0016 / tile_rows))  # the fullest tile of random fingerprints holds about 0.16 % of them
+    quarter = [F.bit_count(F.shiftrightunsigned(F.col("fp"), 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("long") for k in range(4)]
+    tile = ((quarter[0] * 32 + quarter[1]) * 32 + quarter[2]) * 32 + quarter[3]
+    crowded = fingerprints.groupBy(tile.alias("tile")).count().where(F.col("count") > tile_rows).collect()  # of 17**4 tiles that there are
+    pieces = Pieces({r["tile"]: -(-r["count"] // tile_rows) for r in crowded}, radius)
     dealt = fingerprints.select("fp").mapInArrow(_deal(radius, pieces), "tile long, role byte, fp long")
     return dealt.groupBy("tile").applyInArrow(_compare(radius), "a long, b long")
 
@@ -162,10 +200,17 @@ def near_links(fingerprints: DataFrame, radius: int = 2, tile_rows: int = 200_00
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): the smallest node (as a signed long) reachable over links (a, b), by large-star / small-star rounds.
 
-    Nodes without a link aren't listed.  Each round is written in the shared folder; one boolean reaches the driver.
+    Nodes without a link aren't listed.  Each round is written in the shared folder; three numbers of it reach the driver, to see whether
+    it changed anything (count, sum and exclusive-or of the links' hashes).
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, name)
+
+    def sums(edges: DataFrame) -> tuple:
+        h = F.xxhash64("u", "v")
+        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first())
+
+    before = sums(edges)
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour to the smallest of the neighbourhood
@@ -176,26 +221,29 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = written(small.select("u", "v"), name)
-        changed = not (after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty())
-        edges = after
-        if not changed:
+        edges, known, before = after, before, sums(after)
+        if before == known:
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """(id, __fp, component): the fingerprint as a signed long and the smallest id of the component."""
-    fps = written(with_fingerprint(docs, [id_col], text_col), "fingerprints")
-    classes = written(fps.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("first")), "classes")  # copies fold here, before any comparison
+    return finished(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(docs, id_col, text_col, radius))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    fps = written(with_fingerprint(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), ["id"]), "fingerprints")
+    classes = written(fps.groupBy(F.col("__fp").alias("fp")).agg(F.min("id").alias("first")), "classes")  # copies fold here, before any comparison
     roots = components(near_links(classes, radius))
     classes = written(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
     first = written(classes.groupBy("root").agg(F.min("first").alias("component")), "components")
     of_class = classes.join(first, "root").select(F.col("fp").alias("__fp"), "component")
-    return fps.join(of_class, "__fp").select(id_col, "__fp", "component")
+    return fps.join(of_class, "__fp").select(F.col("id").alias(id_col), "__fp", "component")
 
 
 def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """Per row: id, fingerprint (16 hexadecimal digits), component_id."""
-    return near_duplicates(docs, id_col, text_col, radius).select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return near_duplicates(docs, id_col, text_col, radius).select(col(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 # Near duplicates by what the texts share: bands form tiles, fingerprints find candidates in them, shingle sets decide
@@ -519,7 +567,7 @@ def similar_links(docs: DataFrame, text_col: str = "text", shingle: int = 5, lea
     Tiles are ranged by (tile, node), so that a tile of any size is split; where a range border cuts a tile, the members
     of all its parts meet the most central members of all its parts, and in the second round each two parts meet in full.
     """
-    keyed = docs.select(F.xxhash64(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.xxhash64(col(text_col)).alias("node"), col(text_col).alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -579,12 +627,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Groups are the components of equal texts and of ``similar_links`` (which takes the options).  Rows with a null id all stay.
     """
+    (their,) = free_names(docs.columns, "__their_id")
+    keep = finished(docs.sparkSession, "kept", lambda: _representatives(docs, id_col, text_col, shingle, least, their, **options))
+    node, first, of = free_names([*docs.columns, their], "__node", "__first", "__of")
+    keyed = docs.where(col(id_col).isNotNull()).withColumn(node, F.xxhash64(col(text_col)))
+    kept = keyed.join(keep.select(F.col(their).alias(of), F.col("node").alias(first)), (col(id_col) == F.col(of)) & (F.col(node) == F.col(first)), "left_semi")
+    if not keyed.groupBy(col(id_col), node).count().where(F.col("count") > 1).isEmpty():
+        kept = kept.dropDuplicates([id_col, node])  # rows alike in id and text are one
+    return kept.select(*[col(c) for c in docs.columns]).unionByName(docs.where(col(id_col).isNull()))
+
+
+def _representatives(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, their: str, **options: int) -> DataFrame:
+    """(id, node) of the row that stays of each group; the id under the name ``their``."""
     _, links = similar_links(docs, text_col, shingle, least, **options)
-    roots = components(links)
-    keyed = docs.where(F.col(id_col).isNotNull()).withColumn("__node", F.xxhash64(F.col(text_col)))
-    first = keyed.groupBy("__node").agg(F.min(id_col).alias("__first")).join(roots, F.col("__node") == F.col("node"), "left")
-    keep = first.groupBy(F.coalesce("root", "__node").alias("__root")).agg(F.min(F.struct("__first", "__node")).alias("__keep")).select("__keep.*")
-    kept = keyed.join(keep.select(F.col("__first").alias(id_col), "__node"), [id_col, "__node"], "left_semi")
-    if not keyed.groupBy(id_col, "__node").count().where(F.col("count") > 1).isEmpty():
-        kept = kept.dropDuplicates([id_col, "__node"])  # rows alike in id and text are one
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
+    roots = components(links).select(F.col("node").alias("of"), "root")
+    keyed = docs.where(col(id_col).isNotNull()).select(col(id_col).alias(their), F.xxhash64(col(text_col)).alias("node"))
+    firsts = keyed.groupBy("node").agg(F.min(their).alias(their)).join(roots, F.col("node") == F.col("of"), "left")
+    return firsts.groupBy(F.coalesce("root", "node").alias("of")).agg(F.min(F.struct(their, "node")).alias("keep")).select("keep.*")
