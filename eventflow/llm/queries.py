@@ -80,11 +80,13 @@ covered AS (SELECT row, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(ra
 base AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\t]*[-*•‣▪●]'))) AS bullets, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\t\r]*$'))) AS ellipses,
          length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower, length(regexp_replace(t, '[^!?]', '', 'g')) AS marks, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits
   FROM docs LEFT JOIN covered USING (row))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > CAST(0.3 AS DOUBLE) * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-            OR n_dup_lines >= 3 AND n_dup_lines > CAST(0.3 AS DOUBLE) * n_lines OR upper > lower OR marks > CAST(0.3 AS DOUBLE) * n_words OR digits > CAST(0.5 AS DOUBLE) * word_chars) AS kept
+            OR n_dup_lines >= 3 AND n_dup_lines > CAST(0.3 AS DOUBLE) * n_lines OR upper > lower OR marks > CAST(0.3 AS DOUBLE) * n_words OR digits > CAST(0.5 AS DOUBLE) * word_chars
+            OR n_lines >= 5 AND bullets > CAST(0.9 AS DOUBLE) * n_lines OR n_lines >= 5 AND ellipses > CAST(0.5 AS DOUBLE) * n_lines) AS kept
 FROM base""",
     "op8_line_dedup": r"""
 WITH lines AS (
