@@ -6,11 +6,12 @@ quality rules -> line dedup -> SimHash near-dedup -> benchmark decontamination -
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventflow.llm.common import written
+from eventflow.llm.common import finished
 from eventflow.llm.decontaminate import decontaminate
 from eventflow.llm.line_dedup import line_dedup
 from eventflow.llm.mixing import mixed_corpus
@@ -59,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    """The mix; tables between stages last until it is written."""
+
+    def stages() -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        *before, (_, last) = STAGES
+        for name, stage in before:
+            docs = finished(spark, f"stage-{name}", partial(stage, spark, docs, sf_dir))
+        return last(spark, docs, sf_dir)
+
+    return finished(spark, "pipeline", stages)
