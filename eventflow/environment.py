@@ -201,7 +201,11 @@ class Environment:
             self._slots.release()
 
     def checkpoint_location(self, sink: str) -> str:
-        return f"{self.options.checkpoint_dir.rstrip('/')}/{self.options.name}/{re.sub(r'[^A-Za-z0-9_.-]', '_', sink)}"
+        """Below the options' folder, or where that is left open, below the one that the cluster names for checkpoints."""
+        folder = self.options.checkpoint_dir
+        if folder == ".":
+            folder = self.spark.conf.get("spark.checkpoint.dir", None) or folder
+        return f"{folder.rstrip('/')}/{self.options.name}/{re.sub(r'[^A-Za-z0-9_.-]', '_', sink)}"
 
     def writer(self, df: DataFrame, location: str, mode: str = "append", once: bool = False):
         """A stream writer with this environment's trigger and checkpoint place."""
