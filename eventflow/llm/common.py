@@ -188,6 +188,14 @@ class HashedWords:
         self.n_docs = len(self.lengths)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
 
+    @classmethod
+    def stored(cls, keys: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> HashedWords:
+        """The same from its parts."""
+        out = cls.__new__(cls)
+        out.keys, out.codes, out.lengths, out.n_docs = keys, codes, lengths, len(lengths)
+        out.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        return out
+
     def room(self) -> np.ndarray:
         """For each word, the words from it to the end of its text."""
         return np.repeat(self.starts[1:], self.lengths) - np.arange(len(self.codes))

@@ -42,12 +42,14 @@ from eventflow.llm.common import (
     in_blocks,
     merged,
     n_shards,
+    pack,
     pack_bits,
     pack_keys,
     shard_cuts,
     sliding,
     table_of,
     text_bytes,
+    unpack,
     unpack_bits,
     unpack_keys,
     written,
@@ -64,8 +66,8 @@ _REPLY_PA = pa.schema([("step", pa.int32()), ("block", pa.int64()), ("shard", pa
 class Block:
     """A block's words, phrase hashes and window starts."""
 
-    def __init__(self, texts: pa.ChunkedArray | pa.Array, width: int):
-        self.words = HashedWords(texts)
+    def __init__(self, row: dict, width: int):
+        self.number, self.words = row["block"], HashedWords.stored(unpack_keys(row["keys"]), unpack(row["codes"], np.int32), unpack(row["lengths"], np.int64))
         self.width, n = width, len(self.words.codes)
         self.hashed = self.words.keys[self.words.codes] if n else np.empty(0, np.uint64)
         room = self.words.room()
@@ -125,28 +127,24 @@ def _flags(replies: list[dict], step: int) -> np.ndarray:
     return np.concatenate([unpack_bits(r["again"], r["n"]) for r in rows]) if rows else np.empty(0, bool)
 
 
-_STATE = "block long, rows binary"
-_STATE_PA = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
+#: A block after its texts have been split once: word hashes, the words' places among them, words per text; and ids and texts.
+_STATE = "block long, keys binary, codes binary, lengths binary, rows binary"
+_STATE_PA = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "codes", "lengths", "rows"))])
 
 
 def _gathered(number: int, rows: pa.Table) -> pa.Table:
-    """A block's ids and texts in one value."""
-    sink = pa.BufferOutputStream()
+    words, sink = HashedWords(rows.column("text")), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(rows, max_chunksize=4096)
-    return pa.table([[number], [sink.getvalue().to_pybytes()]], schema=_STATE_PA)
-
-
-def _rows(state: pa.Table | pa.RecordBatch, at: int = 0) -> pa.Table:
-    return pa.ipc.open_stream(state.column("rows")[at].as_buffer()).read_all()
+    return table_of(_STATE_PA, [(number, pack_keys(words.keys), pack(words.codes), pack(words.lengths), sink.getvalue().to_pybytes())])
 
 
 def _send_anchors(width: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for i in range(len(rb)):
-                block = Block(_rows(rb, i).column("text"), width)
-                yield from _sent(rb.column("block")[i].as_py(), block.phrases[block.anchors()], shards)[0].to_batches()
+                block = Block({c: rb.column(c)[i].as_py() for c in rb.schema.names}, width)
+                yield from _sent(block.number, block.phrases[block.anchors()], shards)[0].to_batches()
 
     return run
 
@@ -161,9 +159,9 @@ def _send_windows(width: int, shards: int):
     def run(state: pa.Table, replies: pa.Table) -> pa.Table:
         if not state.num_rows:
             return table_of(_SENT_PA, [])
-        block = Block(_rows(state).column("text"), width)
+        block = Block(state.to_pylist()[0], width)
         starts = _candidates(block, replies.to_pylist())
-        return _sent(state.column("block")[0].as_py(), gram_hashes(block.hashed, width)[starts], shards)[0]
+        return _sent(block.number, gram_hashes(block.hashed, width)[starts], shards)[0]
 
     return run
 
@@ -223,24 +221,25 @@ def located(codes: np.ndarray, starts: np.ndarray, ranges: list[tuple[int, int]]
     return np.cumsum(edge)[:-1] > 0
 
 
-def _covered(docs: pa.Table, replies: pa.Table, width: int) -> tuple[Block, np.ndarray]:
-    block = Block(docs.column("text"), width)
-    got = replies.to_pylist()
+def _covered(block: Block, replies: pa.Table) -> np.ndarray:
+    """Which words of a block's documents repeated windows cover."""
+    got, width = replies.to_pylist(), block.width
     starts = _candidates(block, got)
     if not len(starts):
-        return block, np.zeros(len(block.hashed), bool)
+        return np.zeros(len(block.hashed), bool)
     _, at = np.unique(gram_hashes(block.hashed, width)[starts], return_inverse=True)
     repeated = starts[_flags(got, 2)[at]]
     words = block.words
-    return block, located(words.codes, words.starts, passages(repeated, width, words.starts))
+    return located(words.codes, words.starts, passages(repeated, width, words.starts))
 
 
 def _report(width: int, schema: pa.Schema):
     def run(state: pa.Table, replies: pa.Table) -> pa.Table:
         if not state.num_rows:
             return schema.empty_table()
-        docs = _rows(state)
-        block, gone = _covered(docs, replies, width)
+        row = state.to_pylist()[0]
+        docs, block = pa.ipc.open_stream(row["rows"]).read_all(), Block(row, width)
+        gone = _covered(block, replies)
         starts, n_removed, sha = block.words.starts, [], []
         for s, e, t in zip(starts[:-1].tolist(), starts[1:].tolist(), docs.column("text"), strict=True):
             words = (t.as_py() or "").encode().split()
@@ -263,8 +262,9 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str, width: int, block_byt
     _, n_bytes = text_bytes(docs, text_col)
     shards = n_shards(n_bytes, shard_bytes)
     states = written(in_blocks(docs, id_col, text_col, block_bytes, _gathered, _STATE), "blocks")
-    first = states.mapInArrow(_send_anchors(width, shards), _SENT).groupBy("shard").applyInArrow(_found_again(1), _REPLY)
-    windows = states.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(width, shards), _SENT)
+    words = states.drop("rows")
+    first = words.mapInArrow(_send_anchors(width, shards), _SENT).groupBy("shard").applyInArrow(_found_again(1), _REPLY)
+    windows = words.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(width, shards), _SENT)
     second = windows.groupBy("shard").applyInArrow(_found_again(2), _REPLY)
     every = first.unionByName(second)
     id_type = to_arrow_type(docs.schema[id_col].dataType)
