@@ -262,9 +262,8 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str, width: int, block_byt
     _, n_bytes = text_bytes(docs, text_col)
     shards = n_shards(n_bytes, shard_bytes)
     states = written(in_blocks(docs, id_col, text_col, block_bytes, _gathered, _STATE), "blocks")
-    words = states.drop("rows")
-    first = words.mapInArrow(_send_anchors(width, shards), _SENT).groupBy("shard").applyInArrow(_found_again(1), _REPLY)
-    windows = words.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(width, shards), _SENT)
+    first = states.drop("rows").mapInArrow(_send_anchors(width, shards), _SENT).groupBy("shard").applyInArrow(_found_again(1), _REPLY)
+    windows = states.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_send_windows(width, shards), _SENT)
     second = windows.groupBy("shard").applyInArrow(_found_again(2), _REPLY)
     every = first.unionByName(second)
     id_type = to_arrow_type(docs.schema[id_col].dataType)
