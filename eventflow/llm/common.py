@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
@@ -101,6 +102,18 @@ def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> D
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, n_bytes: int = 2 << 20) -> Iterator[None]:
+    """What is run meanwhile passes rows between the JVM and Python in batches of about ``n_bytes``, so neither side holds 10,000 texts for one."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of all texts (two numbers reach the driver)."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("b")).first()
