@@ -3,9 +3,9 @@
 1. Documents are read as passages: windows as long as the benchmark's typical item,
    overlapping by half.  A passage's TF-IDF vector runs over the benchmark's words (all
    other words count in its length only); document frequencies cover all passages.
-2. A randomised SVD of the passage-word matrix, distributed: each task sketches its own
-   rows and sends partial sums, which are added up in Spark, column block by column
-   block; the driver factors matrices as large as the benchmark's vocabulary only.
+2. A randomised SVD of the passage-word matrix of all texts, distributed: each task sketches
+   its own rows and sends partial sums, which are added up in Spark, column block by column
+   block; the driver factors the sum, as long as the benchmark's vocabulary.
 3. Passages and items meet in the latent space; pairs above a cosine are candidates.
    A passage that shares a run of words with an item, or as many of its words in whatever order as the
    next step asks for, is a candidate too, whatever its cosine: what step 4 would accept is never lost to
@@ -123,7 +123,7 @@ def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _project(passage: np.ndarray, code: np.ndarray, value: np.ndarray, basis: np.ndarray, n: int, piece: int = 1 << 15) -> np.ndarray:
+def _project(passage: np.ndarray, code: np.ndarray, value: np.ndarray, basis: np.ndarray, n: int, piece: int = 1 << 11) -> np.ndarray:
     """The rows of the sparse matrix times ``basis``."""
     out = np.zeros((n, basis.shape[1]))
     for at in range(0, len(passage), piece):
@@ -176,18 +176,9 @@ def _partial(docs: DataFrame, of_batch, width: int, n: int) -> np.ndarray:
     return _joined(_sums(docs.mapInArrow(run, "block int, data binary")), width, n)
 
 
-def latent_basis(texts: DataFrame, bench: Benchmark, rank: int, fit_rows: int = 20_000, oversample: int = 8, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """(right singular vectors, idf, idf of other words) of the texts in column ``text``.
-
-    The frequencies cover the passages of all texts; the factors are fitted to those of about ``fit_rows`` rows, chosen by a
-    hash of all columns given (with an id among them, a group of copies is not chosen whole).
-    """
+def latent_basis(texts: DataFrame, bench: Benchmark, rank: int, oversample: int = 8, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """(right singular vectors, idf, idf of other words) of the passages of all texts in column ``text``."""
     n = len(bench.vocabulary)
-    rows = texts.count()
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in texts.columns], F.lit(seed))
-    part = texts.where(F.pmod(key, F.lit(1 << 40)) < int(min(1.0, fit_rows / max(1, rows)) * (1 << 40))).select("text")
-    texts = texts.select("text")
-
     def frequencies(column: pa.Array) -> np.ndarray:
         p = Passages(column, bench)
         _, code, _ = p.entries()
@@ -206,28 +197,34 @@ def latent_basis(texts: DataFrame, bench: Benchmark, rank: int, fit_rows: int =
 
     def sketch(column: pa.Array) -> np.ndarray:  # A' A omega
         p = Passages(column, bench)
-        passage, code, value = _vectors(p, idf, unknown)
-        return _back(passage, code, value, _project(passage, code, value, omega, p.n_halves), n)
+        return _back_and_forth(*_vectors(p, idf, unknown), omega, p.n_halves)
 
-    basis = np.linalg.qr(_partial(part, sketch, k, n))[0]
+    return _from_sketch(_partial(texts, sketch, k, n), omega)[:, :rank], idf, unknown
 
-    def gram(column: pa.Array) -> np.ndarray:  # (A Q)' (A Q)
-        p = Passages(column, bench)
-        y = _project(*_vectors(p, idf, unknown), basis, p.n_halves)
-        return y.T @ y
 
-    _, rotate = np.linalg.eigh(_partial(part, gram, basis.shape[1], basis.shape[1]))
-    return basis @ rotate[:, ::-1][:, : min(rank, n)], idf, unknown
+def _from_sketch(sketched: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """Eigenvectors, largest eigenvalue first, of a positive semidefinite G of which G omega is known (Nystrom: no second pass over G's rows)."""
+    inner = omega.T @ sketched
+    weights, turn = np.linalg.eigh((inner + inner.T) / 2)
+    held = weights > 1e-12 * weights.max(initial=0.0)
+    return np.linalg.svd(sketched @ (turn[:, held] / np.sqrt(weights[held])), full_matrices=False)[0]
 
 
-def _back(passage: np.ndarray, code: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, piece: int = 1 << 15) -> np.ndarray:
-    order = np.argsort(code, kind="stable")
-    passage, code, value = passage[order], code[order], value[order]
-    out = np.zeros((n, y.shape[1]))
-    for at in range(0, len(code), piece):
-        part = slice(at, at + piece)
-        low, high = int(code[part][0]), int(code[part][-1]) + 1
-        out[low:high] += _row_sums(code[part] - low, value[part, None] * y[passage[part]], high - low)
+def _back_and_forth(passage: np.ndarray, code: np.ndarray, value: np.ndarray, omega: np.ndarray, n: int, chunk: int = 128) -> np.ndarray:
+    """The sparse matrix's transpose times itself times ``omega``: runs of rows as dense matrices over the columns that they have."""
+    out, place = np.zeros(omega.shape), np.empty(len(omega), np.int64)
+    cuts = np.searchsorted(passage, np.arange(0, n + chunk, chunk))
+    for first, lo, hi in zip(range(0, n, chunk), cuts, cuts[1:], strict=False):
+        if lo == hi:
+            continue
+        some = code[lo:hi]
+        held = np.zeros(len(omega), bool)
+        held[some] = True
+        used = np.flatnonzero(held)
+        place[used] = np.arange(len(used))
+        dense = np.zeros((min(chunk, n - first), len(used)))
+        dense[passage[lo:hi] - first, place[some]] = value[lo:hi]
+        out[used] += dense.T @ (dense @ omega[used])
     return out
 
 
@@ -432,7 +429,7 @@ def contamination(
         bench = Benchmark.of(sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda r: (str(r[0]), r[1] or "")))
         if not bench.items:
             continue
-        basis, idf, unknown = latent_basis(docs.select(*([col(id_col).alias("id")] if id_col in docs.columns else []), col(text_col).alias("text")), bench, rank)
+        basis, idf, unknown = latent_basis(docs.select(col(text_col).alias("text")), bench, rank)
         sent = spark.sparkContext.broadcast((bench, basis, idf, unknown))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
