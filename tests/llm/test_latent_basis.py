@@ -31,3 +31,21 @@ def test_a_sketch_gives_the_leading_eigenvectors():
     assert np.abs(got @ got.T - turn[:, :4] @ turn[:, :4].T).max() < 1e-4
     assert decontaminate._from_sketch(np.zeros((60, 20)), omega).shape == (60, 0)
     assert decontaminate._from_sketch(np.zeros((0, 0)), np.zeros((0, 0))).shape == (0, 0)
+
+
+def test_the_pipeline_fits_to_every_row(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    item = "the first question of the benchmark asks for seven green birds"
+    docs = spark.range(41_000).selectExpr("id AS doc_id", f"IF(id % 5000 = 0, concat('now {item} ', id), concat('the green question ', id)) AS text")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, partial = [], decontaminate._partial
+
+    def counted(texts, *rest):
+        seen.append(texts.count())
+        return partial(texts, *rest)
+
+    monkeypatch.setattr(decontaminate, "_partial", counted)
+    left = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert left.count() == 41_000 - 9
+    assert len(seen) >= 2 and set(seen) == {41_000}
