@@ -24,6 +24,12 @@ def epoch_ms(timestamp: Column) -> Column:
     return F.unix_millis(timestamp.cast("timestamp"))
 
 
+def nearest_ms(timestamp: Column | str) -> Column:
+    """A timestamp moved to its nearest millisecond, halves away from the epoch, as SQL's ``epoch_ms`` takes it (``epoch_ms`` here cuts off)."""
+    us = F.unix_micros((F.col(timestamp) if isinstance(timestamp, str) else timestamp).cast("timestamp"))
+    return F.timestamp_millis(F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000)))
+
+
 def assign_timestamps(stream: Stream, name: str, timestamp: Column | str, column: str = "event_ts", out_of_orderness_ms: int | None = 0, lateness_ms: int = 0) -> Stream:
     """Rows with an event time, and on unbounded input a watermark ``out_of_orderness_ms`` (+ lateness) behind the latest.
 

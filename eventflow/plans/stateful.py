@@ -23,7 +23,7 @@ _IN_ORDER = (own.AT, "event_id")
 
 
 def _rows(spark: SparkSession, sf_dir: str):
-    return _events(spark, sf_dir).map("rows", "event_ts", "user_id", "event_id", "event_type")
+    return _events(spark, sf_dir, nearest=False).map("rows", "event_ts", "user_id", "event_id", "event_type")
 
 
 class Reminders(own.Operator):
