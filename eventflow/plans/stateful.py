@@ -228,7 +228,7 @@ class Halfway(Trigger):
 
 
 def stream_trigger_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = _live(spark, sf_dir).map("few", "event_ts", "event_type", F.lit(0).alias("cents"))
+    live = _live(spark, sf_dir, nearest=False).map("few", "event_ts", "event_type", F.lit(0).alias("cents"))
     out = live.apply("half", lambda df: stateful_window(df, Tumbling(DAY), "event_ts", ["event_type"], ["cents"], Count(), "n long", trigger=Halfway(), process=lambda key, s, e, r: [{"n": r[0]}]))
     return _ran(spark, out, "update").groupBy("event_type", "event_ms").agg(F.count(F.lit(1)).alias("results"), F.max("n").alias("n"))
 
@@ -290,7 +290,7 @@ class Diary(sinks.Sink):
 def sink_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sink of one's own is told, in order: checkpoints, batches, the last watermark, the end."""
     diary = Diary()
-    counted = _live(spark, sf_dir).window("hourly", event_time(HOUR), aggregates=[F.count(F.lit(1)).alias("n")], keys=["event_type"])
+    counted = _live(spark, sf_dir, nearest=False).window("hourly", event_time(HOUR), aggregates=[F.count(F.lit(1)).alias("n")], keys=["event_type"])
     sinks.to_sink(counted, "diary", diary)
     counted.environment.start().wait()
     return spark.createDataFrame([(i, what, n) for i, (what, n) in enumerate(diary.lines)], "position long, what string, value long")
