@@ -92,7 +92,8 @@ def _by_key(left: DataFrame, right: DataFrame, key: list[str], fn: Callable, sch
         flat.append(df.select(*key, "*").toDF(*keys, *[c if c not in keys else f"_twice{i}" for i, c in enumerate(own)]).select(*keys, *[c for c in own if c not in keys], F.lit(side).alias(SIDE)))
         labels.append(list(df.columns))
         places.append(own)
-    both = flat[0].unionByName(flat[1], allowMissingColumns=True)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many: the work is by key, so tasks merged by their few bytes would leave cores idle
+    both = flat[0].unionByName(flat[1], allowMissingColumns=True).repartition(tasks, *keys)
     both = both.withColumn(first, F.row_number().over(Window.partitionBy(*keys).orderBy(SIDE)) == 1)
     whole = {f.name: f.dataType for f in both.schema if isinstance(f.dataType, _WHOLE) and f.name not in (first, SIDE)}
     missing = {c: F.col(c).isNull() & (F.lit(True) if c in keys else F.col(SIDE) == int(c[2])) for c in whole}

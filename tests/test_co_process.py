@@ -88,6 +88,18 @@ def test_tuples_and_no_arrow_stream_for_each_key(spark):
     assert "CoGroups" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_tables_use_all_tasks(spark):
+    """What a key costs is not told by its bytes: adaptive execution must not merge the tasks by them."""
+    left, right = spark.range(3000).withColumnRenamed("id", "k"), spark.range(3000).withColumnRenamed("id", "k")
+    key, before = "spark.sql.adaptive.coalescePartitions.parallelismFirst", spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    spark.conf.set(key, "false")
+    try:
+        out = multi.co_process(_stream(left, "l"), _stream(right, "r"), "n", ["k"], lambda k, a, b: [(k[0],)], "k long").df
+        assert out.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_columns_that_do_not_fit_the_schema_are_an_error(spark):
     df = _stream(spark.range(3).withColumnRenamed("id", "k"), "l")
     with pytest.raises(Exception, match="columns"):
